@@ -116,23 +116,24 @@ def _recipes(batches):
 
 
 def _chunks(batches):
-    """Digest, compressed bytes and whether the chunk is a media by itself; a task sends a chunk once (while SEEN lasts)."""
-    pack = zstandard.ZstdCompressor(level=6)
-    seen: set[tuple[bytes, bool]] = set()
+    """Digest, compressed bytes and kind of each chunk; a task sends a chunk once (while its memory of them lasts)."""
+    pack = zstandard.ZstdCompressor(level=9)
+    seen: set[tuple[bytes, int]] = set()
     for batch in batches:
-        digests, bodies, whole = [], [], []
+        digests, bodies, kinds = [], [], []
         for text in batch.column("text").to_pylist():
             parts = chunks(to_media(padded(text)[1]))
+            kind = WHOLE if len(parts) == 1 else PART
             for c in parts:
                 d = hashlib.sha256(c).digest()
-                if (d, len(parts) == 1) in seen:
+                if (d, kind) in seen:
                     continue
                 if len(seen) < 200_000:
-                    seen.add((d, len(parts) == 1))
+                    seen.add((d, kind))
                 digests.append(d)
                 bodies.append(pack.compress(c))
-                whole.append(len(parts) == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary()), pa.array(whole, pa.bool_())], names=["digest", "body", "whole"])
+                kinds.append(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary()), pa.array(kinds, pa.int32())], names=["digest", "body", "kind"])
 
 
 def recipes_of(docs: DataFrame) -> DataFrame:
@@ -140,22 +141,37 @@ def recipes_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_recipes, "doc_id long, n_bytes long, media binary, digests array<binary>")
 
 
+WHOLE, PART = 1, 2
+
+
 def chunk_store(docs: DataFrame) -> DataFrame:
-    """digest, body (zstd), whole, part: each distinct chunk once, and whether it is used as a whole media and as a part."""
-    sent = docs.select("text").mapInArrow(_chunks, "digest binary, body binary, whole boolean")
-    return sent.groupBy("digest").agg(F.first("body").alias("body"), F.bool_or("whole").alias("whole"), F.bool_or(~F.col("whole")).alias("part"))
+    """digest, body (zstd), kinds: each distinct chunk once, and whether it is used as a WHOLE media, as a PART or (their sum) both."""
+    sent = docs.select("text").mapInArrow(_chunks, "digest binary, body binary, kind int")
+    return sent.groupBy("digest").agg(F.first("body").alias("body"), F.bit_or("kind").alias("kinds"))
 
 
 def rebuilt(recipes: DataFrame, store: DataFrame, uses: int = USES) -> DataFrame:
-    """media, parts (compressed chunks in order) for each distinct recipe(media, digests)."""
+    """media, parts (compressed chunks in order) for each distinct recipe(media, digests).
+
+    Both branches read the same columns of the store, so Spark runs its aggregation once; the join by digest needs no
+    further exchange of it. Only chunks with more than `uses` uses are sent again, in salted copies.
+    """
     several = recipes.where(F.size("digests") > 1).groupBy("media").agg(F.first("digests").alias("digests"))
     entries = several.select("media", F.posexplode("digests").alias("pos", "digest"))
     busy = entries.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > uses).select("digest", F.ceil(F.col("n") / uses).cast("int").alias("copies"))
-    busy = small_side(write_shared(busy, "media-busy"))
-    dealt = entries.join(busy, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("media", "pos"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-    parts = store.where("part").join(busy, "digest", "left").select("digest", "body", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
-    joined = dealt.join(parts, ["digest", "salt"]).groupBy("media").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("p"))
-    return joined.select("media", F.transform("p", lambda x: x["body"]).alias("parts")).union(store.where("whole").select("digest", F.array("body")))
+    busy = write_shared(busy, "media-busy")
+    parts = store.where(F.col("kinds").bitwiseAND(F.lit(PART)) > 0).select("digest", "body")
+    if busy.limit(1).count() == 0:
+        joined = entries.join(parts, "digest")
+    else:
+        plain = entries.join(small_side(busy), "digest", "left_anti").join(parts, "digest").select("media", "pos", "body")
+        salt = F.pmod(F.xxhash64("media", "pos"), F.col("copies")).cast("int")
+        dealt = entries.join(small_side(busy), "digest").select("media", "pos", "digest", salt.alias("salt"))
+        spread = parts.join(small_side(busy), "digest").select("digest", "body", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+        joined = plain.union(dealt.join(spread, ["digest", "salt"]).select("media", "pos", "body"))
+    lists = joined.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("p"))
+    alone = store.where(F.col("kinds").bitwiseAND(F.lit(WHOLE)) > 0).select("digest", F.array("body"))
+    return lists.select("media", F.transform("p", lambda x: x["body"]).alias("parts")).union(alone)
 
 
 MEDIA = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
