@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from factloom.llm.shared import SPACE, small_side, write_shared
 
 MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 SEGMENT_IDS = 1 << 18
+PATCH = np.dtype([("place", "u1"), ("value", "<u4")])
 KEPT = 400_000
 #: What byte-level pre-splitting cuts at white space can be encoded piece by piece.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -55,15 +57,19 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     limit = np.sort(rest, axis=1)[:, min(BLOCK - 1, BLOCK * PERCENTILE // 100)] if blocks else low
     widths = np.ceil(np.log2(limit.astype(np.float64) + 1)).astype(np.uint8)
     packed: list[bytes] = [b""] * blocks
-    for w in np.unique(widths):
+    for w in np.unique(widths).tolist():
         at = np.flatnonzero(widths == w)
-        bits = (rest[at][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-        body = np.packbits(bits.reshape(len(at), -1).astype(np.uint8), axis=1, bitorder="little")
-        over = rest[at] >> np.uint32(w) > 0 if w < 32 else np.zeros((len(at), BLOCK), bool)
-        for k, i in enumerate(at.tolist()):
-            places = np.flatnonzero(over[k])
-            patch = b"".join(struct.pack("<BI", p, v) for p, v in zip(places.tolist(), rest[i][places].tolist(), strict=True))
-            packed[i] = struct.pack("<IBB", int(low[i]), int(w), len(places)) + body[k].tobytes() + patch
+        part = np.ascontiguousarray(rest[at], "<u4")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=w) if w else np.empty((len(at), 0), np.uint8)
+        body = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+        over = part > np.uint32((1 << w) - 1)
+        patches = np.empty(int(over.sum()), PATCH)
+        patches["place"], patches["value"] = np.nonzero(over)[1], part[over]
+        ends = np.cumsum(over.sum(axis=1)).tolist()
+        last = 0
+        for k, (i, end) in enumerate(zip(at.tolist(), ends, strict=True)):
+            packed[i] = struct.pack("<IBB", int(low[i]), w, end - last) + body[k].tobytes() + patches[last:end].tobytes()
+            last = end
     head = 16 + 4 * len(lengths) + 4 * blocks
     starts = head + np.concatenate([[0], np.cumsum([len(b) for b in packed])[:-1]]) if blocks else np.empty(0)
     return MAGIC + struct.pack("<III", len(lengths), n, blocks) + lengths.astype("<u4").tobytes() + starts.astype("<u4").tobytes() + b"".join(packed)
@@ -102,17 +108,25 @@ def unpack(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(widths == w)
         size = BLOCK * w // 8
         body = raw[begin[at][:, None] + 6 + np.arange(size)]
-        bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        out[at] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
-        for i in at.tolist():
-            start = starts[i]
-            low, _, patched = struct.unpack_from("<IBB", segment, start)
-            for place, value in struct.iter_unpack("<BI", segment[start + 6 + size : start + 6 + size + 5 * patched]):
-                out[i, place] = value
-            out[i] += np.uint32(low)
+        bits = np.zeros((len(at) * BLOCK, 32), np.uint8)
+        bits[:, :w] = np.unpackbits(body, axis=1, bitorder="little").reshape(-1, w) if w else 0
+        out[at] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(len(at), BLOCK)
+        counts = raw[begin[at] + 5].astype(np.int64)
+        own = np.repeat(np.arange(len(at)), counts)
+        within = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+        patches = raw[(begin[at][own] + 6 + size + 5 * within)[:, None] + np.arange(5)].copy().view(PATCH).reshape(-1)
+        out[at[own], patches["place"]] = patches["value"]
+    if blocks:
+        out += raw[begin[:, None] + np.arange(4)].copy().view("<u4")
     return out.reshape(-1)[:n], lengths
 
 
+#: Marks that the pre-splitting always cuts from a letter or digit before them.
+TAIL = ".,;:!?*#$%&|"
+#: White space one by one.
+WHITE = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c)))
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, asking it once for each piece between white space (kept in a bounded table)."""
 
@@ -123,20 +137,46 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words asked for here are new ones
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.length[i] = len(token)  # byte-level labels have a letter for each byte
         self.kept: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that each begin with a space and hold no other: asked for as one text and cut by the tokens' bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.length[ids])
+        at = np.searchsorted(ends, np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])) + 1
+        body = ids.tobytes()
+        return [body[4 * a : 4 * b] for a, b in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32; a text that holds a special token goes to the library whole."""
         cut = [None if any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = list({p for pieces in cut if pieces for p in pieces} - self.kept.keys())
-        for at in range(0, len(new), 10_000):
-            self.kept.update(zip(new[at : at + 10_000], self._ask(new[at : at + 10_000]), strict=True))
+        used = set(chain.from_iterable(pieces for pieces in cut if pieces))
+        new = used.difference(self.kept)
+        if len(self.kept) > KEPT:  # what this call uses holds the frequent pieces
+            self.kept = {p: self.kept[p] for p in used.difference(new)}
+        ended = {}
+        for p in new:
+            word = p.rstrip(TAIL)
+            if word != p and word[-1:].isalnum():
+                ended[p] = (word, p[len(word) :])
+        asked = new.difference(ended).union(chain.from_iterable(ended.values())).difference(self.kept)
+        spaced = [p for p in asked if p[0] == " " and len(p) > 1 and p[1] not in WHITE]
+        for at in range(0, len(spaced), 1000):
+            self.kept.update(zip(spaced[at : at + 1000], self._ask_words(spaced[at : at + 1000]), strict=True))
+        others = list(asked.difference(spaced))
+        self.kept.update(zip(others, self._ask(others), strict=True))
+        for p, (word, tail) in ended.items():
+            self.kept[p] = self.kept[word] + self.kept[tail]
         get = self.kept.__getitem__
         return [self._ask([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
