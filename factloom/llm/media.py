@@ -146,7 +146,7 @@ WHOLE, PART = 1, 2
 
 def chunk_store(docs: DataFrame) -> DataFrame:
     """digest, body (zstd), kinds: each distinct chunk once, and whether it is used as a WHOLE media, as a PART or (their sum) both."""
-    sent = docs.select("text").mapInArrow(_chunks, "digest binary, body binary, kind int")
+    sent = docs.select("text").mapInArrow(_chunks, "digest binary, body binary, kind int").where("digest is not null")
     return sent.groupBy("digest").agg(F.first("body").alias("body"), F.bit_or("kind").alias("kinds"))
 
 
