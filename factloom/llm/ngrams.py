@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -18,6 +19,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def row_slices(column: pa.Array, most: int = 1 << 20):
+    """Spans (start, length) of rows with about `most` bytes of text, or one longer text, each."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.float64)))
+    at = 0
+    while at < len(column):
+        base = ends[at - 1] if at else 0.0
+        end = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield at, end - at
+        at = end
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column, one after another, and where each text starts (and the last ends); a null text is empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -38,27 +50,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+_made = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; made once for the longest slice."""
+    if len(_made[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            found = np.full(n, base, np.uint64)
+            found[0] = 1
+            _made[k] = np.multiply.accumulate(found)
+    return _made[0][:n], _made[1][:n]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: differences of one running polynomial sum over the bytes."""
     n = len(data)
     if not n:
         return np.empty(0, np.uint64)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
+    power, down = _powers(n + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate((data.astype(np.uint64) + np.uint64(1)) * power[:-1])])
-    down = np.full(n + 1, _INVERSE, np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and document of every hashed word and pair of neighbouring words."""
-    data, offsets = utf8(column)
-    starts, ends, doc = words(data, offsets)
-    h = word_hashes(data, starts, ends)
-    together = doc[1:] == doc[:-1]
-    pairs = mix(h[:-1] * np.uint64(3) + h[1:] + np.uint64(1))[together]
-    found = np.concatenate([h, pairs]) % np.uint64(buckets)
-    return found.astype(np.int64), np.concatenate([doc, doc[1:][together]])
+def features(column: pa.Array, buckets: int):
+    """Bucket and document of every hashed word and pair of neighbouring words, for one slice of rows after another."""
+    for at, length in row_slices(column):
+        data, offsets = utf8(column.slice(at, length))
+        starts, ends, doc = words(data, offsets)
+        h = word_hashes(data, starts, ends)
+        together = doc[1:] == doc[:-1]
+        pairs = mix(h[:-1] * np.uint64(3) + h[1:] + np.uint64(1))[together]
+        found = np.concatenate([h, pairs]) % np.uint64(buckets)
+        yield found.astype(np.int64), np.concatenate([doc, doc[1:][together]]) + at

@@ -44,11 +44,11 @@ def labelled_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def _count(batches):
     totals = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        bucket, doc = features(batch.column("text"), BUCKETS)
-        totals[0] += np.bincount(bucket, minlength=BUCKETS)
         chosen = np.asarray(batch.column("chosen").to_numpy(zero_copy_only=False), dtype=bool)
-        if len(chosen) and chosen.any():
-            totals[1] += np.bincount(bucket[chosen[doc]], minlength=BUCKETS)
+        for bucket, doc in features(batch.column("text"), BUCKETS):
+            totals[0] += np.bincount(bucket, minlength=BUCKETS)
+            if chosen[doc].any():
+                totals[1] += np.bincount(bucket[chosen[doc]], minlength=BUCKETS)
     seen = np.flatnonzero(totals[0])
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(totals[0][seen]), pa.array(totals[1][seen])], names=["bucket", "raw", "target"])
 
@@ -68,9 +68,10 @@ def with_scores(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """docs with `score`, the shrunk mean log-ratio of the text; map-only."""
     def run(batches):
         for batch in batches:
-            bucket, doc = features(batch.column("text"), BUCKETS)
-            n = np.bincount(doc, minlength=batch.num_rows)
-            total = np.bincount(doc, weights=ratios[bucket], minlength=batch.num_rows)
+            n, total = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for bucket, doc in features(batch.column("text"), BUCKETS):
+                n += np.bincount(doc, minlength=batch.num_rows)
+                total += np.bincount(doc, weights=ratios[bucket], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / (n + SHRINK))], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
