@@ -261,9 +261,9 @@ def grf3(s, d):
     return graph.reached(view(s, d, "edges"), "N0", 3)
 
 
-@query("grf5_paths", "WITH RECURSIVE w(path, last, confidence) AS (SELECT [subject, object], object, confidence FROM edges WHERE subject = 'S1' UNION ALL SELECT list_append(w.path, e.object), e.object, w.confidence * e.confidence FROM w JOIN edges e ON e.subject = w.last WHERE NOT list_contains(w.path, e.object) AND len(w.path) <= 4 AND w.last <> 'R1') SELECT array_to_string(path, '>') AS path, round(confidence, 6) AS confidence FROM w WHERE last = 'R1'")
+@query("grf5_paths", "WITH RECURSIVE w(path, last, confidence) AS (SELECT [subject, object], object, confidence FROM edges WHERE subject = 'S1' UNION ALL SELECT list_append(w.path, e.object), e.object, w.confidence * e.confidence FROM w JOIN edges e ON e.subject = w.last WHERE NOT list_contains(w.path, e.object) AND len(w.path) <= 4 AND w.last <> 'R4') SELECT array_to_string(path, '>') AS path, round(confidence, 6) AS confidence FROM w WHERE last = 'R4'")
 def grf5(s, d):
-    return graph.simple_paths(view(s, d, "edges"), "S1", "R1", 4).select(F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
+    return graph.simple_paths(view(s, d, "edges"), "S1", "R4", 4).select(F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("txt1_clean", r"""SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (
