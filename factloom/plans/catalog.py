@@ -69,9 +69,9 @@ def flt1(s, d):
     return view(s, d, "library").where(retrieval.access(user_id=7, workspace_id=8)).select("doc_id", "visibility", "status")
 
 
-@query("flt3_facets", "SELECT doc_id, country, published FROM library WHERE lower(country) LIKE '%an%' AND document_type = 'report' AND published >= DATE '2020-01-01' AND published < DATE '2021-01-01' ORDER BY published DESC, doc_id LIMIT 100")
+@query("flt3_facets", "SELECT doc_id, country, published FROM library WHERE lower(country) LIKE '%on_1%' AND document_type = 'report' AND published >= DATE '2020-01-01' AND published < DATE '2021-01-01' ORDER BY published DESC, doc_id LIMIT 100")
 def flt3(s, d):
-    return view(s, d, "library").where("lower(country) LIKE '%an%' AND document_type = 'report' AND published >= DATE '2020-01-01' AND published < DATE '2021-01-01'").orderBy(F.desc("published"), "doc_id").limit(100).select("doc_id", "country", "published")
+    return view(s, d, "library").where("lower(country) LIKE '%on_1%' AND document_type = 'report' AND published >= DATE '2020-01-01' AND published < DATE '2021-01-01'").orderBy(F.desc("published"), "doc_id").limit(100).select("doc_id", "country", "published")
 
 
 @query("flt4_country_scope", "SELECT q.id, q.question, n.n_name AS country, count(l.doc_id) AS n_docs FROM questions q JOIN nation n ON regexp_matches(lower(q.question), '\\b' || lower(n.n_name) || '\\b') LEFT JOIN library l ON l.country = n.n_name GROUP BY ALL")
@@ -95,12 +95,13 @@ def flt8(s, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(hit).alias("n_metadata"))
 
 
-@query("prj2_context", "SELECT doc_id, 'CA-' || lpad(CAST(rn AS VARCHAR), 3, '0') AS block, chars_upto FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, CAST(sum(length(text)) OVER (ORDER BY doc_id) AS BIGINT) AS chars_upto FROM documents WHERE doc_id < 200) WHERE chars_upto <= 30000")
+@query("prj2_context", "SELECT issuer, doc_id, 'CA-' || lpad(CAST(rn AS VARCHAR), 3, '0') AS block, chars_upto FROM (SELECT issuer, doc_id, row_number() OVER (PARTITION BY issuer ORDER BY doc_id) AS rn, CAST(sum(length(text)) OVER (PARTITION BY issuer ORDER BY doc_id) AS BIGINT) AS chars_upto FROM library) WHERE chars_upto <= 30000")
 def prj2(s, d):
-    """Numbered blocks of the first 200 hits until 30,000 characters are full (the context window is the feature)."""
-    w = Window.orderBy("doc_id")
-    hits = table(s, d, "documents").where("doc_id < 200").select("doc_id", F.row_number().over(w).alias("rn"), F.sum(F.length("text")).over(w).alias("chars_upto"))
-    return hits.where("chars_upto <= 30000").select("doc_id", F.format_string("CA-%03d", "rn").alias("block"), "chars_upto")
+    """Numbered blocks of each issuer's documents until the context window of 30,000 characters is full (the window is the feature)."""
+    w = Window.partitionBy("issuer").orderBy("doc_id")
+    hits = view(s, d, "library").select("issuer", "doc_id", F.length("text").alias("chars"))
+    hits = hits.withColumn("rn", F.row_number().over(w)).withColumn("chars_upto", F.sum("chars").over(w))
+    return hits.where("chars_upto <= 30000").select("issuer", "doc_id", F.format_string("CA-%03d", "rn").alias("block"), "chars_upto")
 
 
 @query("prj3_conversation", "SELECT conv_id, turn, role, substr(trim(text), 1, 4000) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")

@@ -43,7 +43,7 @@ FROM {nation} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UN
 SELECT l_orderkey * 10 + l_linenumber AS id, p_type AS metric, l_suppkey % 20 AS subject, CAST(l_quantity AS INT) AS amount, 2025 + l_linenumber AS year,
        CASE l_linenumber % 3 WHEN 0 THEN concat('Target of ', CAST(CAST(l_quantity AS INT) AS VARCHAR(10)), '% by ', CAST(2025 + l_linenumber AS VARCHAR(10)))
             WHEN 1 THEN concat('USD ', CAST(CAST(l_quantity AS INT) AS VARCHAR(10)), ' million for grids') ELSE concat('Adds ', CAST(CAST(l_quantity AS INT) AS VARCHAR(10)), ' GW of wind') END AS text
-FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_orderkey % 20 = 0 OR l_returnflag = 'R'""",
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings conversations pages labels".split()
 
