@@ -131,13 +131,20 @@ class WordCodec:
         self.labels = {**self.automaton.label, **{i: t for t, i in self.special.items()}}
         self.kept: dict[str, tuple[int, str, str]] = {}
 
+    def words(self, text: str) -> list[str]:
+        """The pattern's words. Characters that Unicode as the tokenizers library knows it leaves unassigned are no letters, whatever regex's newer tables say."""
+        if text.isascii():
+            return self.pattern.findall(text)
+        shadow = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(shadow)]
+
     def chunk(self, piece: str) -> tuple[int, str, str]:
         """Number of ids, ids and labels of a piece of text without white space, kept for next time."""
         found = self.kept.get(piece)
         if found is None:
             clean = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
             tokens: list[str] = []
-            for word in self.pattern.findall(clean.lower()):
+            for word in self.words(clean.lower()):
                 symbols = [self.letters[b] for b in word.encode()]
                 symbols[-1] += self.end
                 tokens += self.automaton.encode(symbols)
