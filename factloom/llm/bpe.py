@@ -129,23 +129,32 @@ class WordCodec:
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in self.special))
         self.letters = byte_letters()
         self.labels = {**self.automaton.label, **{i: t for t, i in self.special.items()}}
+        self.path, self.library = path, None
         self.kept: dict[str, tuple[int, str, str]] = {}
 
-    def words(self, text: str) -> list[str]:
-        """The pattern's words. Characters that Unicode as the tokenizers library knows it leaves unassigned are no letters, whatever regex's newer tables say."""
-        if text.isascii():
-            return self.pattern.findall(text)
-        shadow = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(shadow)]
+    def words(self, piece: str) -> list[list[str]]:
+        """The symbols of each word of a piece.
+
+        Unicode tables differ between Python and the tokenizers library in characters that Python holds for unassigned;
+        a piece with one is normalised and split by the library, so its words are the library's.
+        """
+        if piece.isascii():
+            return [[self.letters[b] for b in w.encode()] for w in self.pattern.findall(piece.lower())]
+        if any(unicodedata.category(c) == "Cn" for c in piece):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            return [list(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
+        clean = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        return [[self.letters[b] for b in w.encode()] for w in self.pattern.findall(clean)]
 
     def chunk(self, piece: str) -> tuple[int, str, str]:
         """Number of ids, ids and labels of a piece of text without white space, kept for next time."""
         found = self.kept.get(piece)
         if found is None:
-            clean = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
             tokens: list[str] = []
-            for word in self.words(clean.lower()):
-                symbols = [self.letters[b] for b in word.encode()]
+            for symbols in self.words(piece):
                 symbols[-1] += self.end
                 tokens += self.automaton.encode(symbols)
             ids = self.automaton.ids
