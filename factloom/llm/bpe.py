@@ -203,10 +203,18 @@ def encoded(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
     def run(batches):
         own = codec(path)
         for batch in batches:
-            rows = [own.encode(x) for x in batch.column("text").to_pylist()]
-            arrays = [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([hashlib.sha256(r[k].encode()).hexdigest() for r in rows], pa.string()) for k in (1, 2)]]
+            counts, digests, ids, decoded = [], ([], []), [], []
+            for x in batch.column("text"):
+                n, *joined = own.encode(x.as_py())
+                counts.append(n)
+                for found, made in zip(joined, digests, strict=True):
+                    made.append(hashlib.sha256(found.encode()).hexdigest())
+                if texts:
+                    ids.append([int(i) for i in joined[0].split()])
+                    decoded.append(own.decode(ids[-1]))
+            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), *[pa.array(d, pa.string()) for d in digests]]
             if texts:
-                arrays += [pa.array([[int(x) for x in r[1].split()] for r in rows], pa.list_(pa.int32())), pa.array([own.decode([int(x) for x in r[1].split()]) for r in rows], pa.string())]
+                arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in fields.split(",")])
 
     return docs.select("doc_id", "text").select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, fields)

@@ -73,7 +73,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
     """docs with STATS of `text` after their own columns; map-only."""
     def run(batches):
         for batch in batches:
-            rows = [text_stats(x) for x in batch.column("text").to_pylist()]
+            rows = [text_stats(x.as_py()) for x in batch.column("text")]
             found = np.array(rows, dtype=np.int64).reshape(len(rows), len(STATS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(found[:, k]) for k in range(len(STATS))]], names=[*batch.schema.names, *STATS])
 

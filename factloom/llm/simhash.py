@@ -29,6 +29,7 @@ from factloom.llm.shared import write_shared
 
 SHINGLE, HASH_SEED, BITS = 3, 42, 64
 CROWD = 400
+FPS_A_TASK = 25_000  # each gives 66 keys
 WHOLE = 32  # the position number of a segment from which nothing is deleted
 
 
@@ -55,7 +56,7 @@ def with_fingerprints(docs: DataFrame, column: str = "fp") -> DataFrame:
     """docs with the fingerprint of `text` as a signed long; map-only."""
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(x.as_py()) for x in batch.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
@@ -81,7 +82,7 @@ def deletion_keys(fps: DataFrame) -> DataFrame:
 
 def close_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) that connect all fingerprints of fps(fp; distinct, a written table) within two bits of each other."""
-    keys = deletion_keys(fps)
+    keys = deletion_keys(fps.repartition(max(1, -(-fps.count() // FPS_A_TASK))))
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("bit") == 0).alias("zeros"), F.count_if(F.col("bit") == 1).alias("ones"))
     met = met.where((F.col("zeros") * F.col("ones") > 0) | ((F.col("zeros") + F.col("ones") == 0) & (F.col("n") > 1)))
     met = write_shared(met.select("key", (F.col("n") > crowd).alias("crowded")), "simhash-keys")
