@@ -5,10 +5,12 @@ States are the tokens read last. The automaton starts with all pairs of tokens a
 merge would have joined them. Along x's right spine and y's left spine each part is present from the merge that makes it
 to the merge that consumes it, so a gadget comes down to comparing those times, and steps are entered into the
 transition table when first asked for. A sequence of tokens is the encoding of its text exactly if the automaton accepts
-it, and every prefix of a word has exactly one accepted sequence: encoding follows, symbol by symbol, the one token by
-which each prefix ends, and reads the arcs back from the end of the word. Decoding emits the labels of the arcs.
+it, and every prefix of a word has at most one accepted sequence. Encoding follows arcs from the start of the word, the
+longest first, and steps back where none leads on; as one state stands for each prefix, a prefix is given up only once.
+Decoding emits the labels of the arcs.
 
-Words (cut by the tokenizer's pattern from normalised text) repeat, so their encodings are kept in a bounded table.
+Pieces between white space repeat, and so do the words that the tokenizer's pattern cuts from them when normalised; the
+encodings of both are kept in tables of bounded size.
 
 Defined cases: a null text is empty; an empty text has no ids; special tokens inside a text become their ids, as the
 tokenizers library does by default; equal texts give equal rows.
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 
 from factloom.llm.shared import SPACE
 
-WORDS_KEPT = 400_000
+PIECES_KEPT, WORDS_KEPT, LONGEST_KEPT = 250_000, 200_000, 100
+STEPS_KEPT = 4_000_000
 _CHUNK = re.compile(f"[^{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -40,18 +43,20 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """The tokenization automaton of a vocabulary and its merges in order."""
+    """The tokenization automaton of a vocabulary and its merges in order; end is the mark of a word's last letter."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
         self.label = {i: t for t, i in vocab.items()}
-        self.ids, self.parts, self.time = vocab, {}, {}
+        self.end, self.parts, self.time = end, {}, {}
         self.rank: dict[tuple[str, str], int] = {}
         for k, (u, v) in enumerate(merges):
             self.rank[u, v] = k
             self.parts.setdefault(u + v, (u, v))
             self.time.setdefault(u + v, k)
-        self.longest = max((len(t) for t in vocab), default=1)
-        self.table: dict[tuple[str, str], bool] = {}
+        self.states = {t for t in vocab if t in self.parts or len(t.removesuffix(end)) == 1 or len(t) == 1}
+        self.longest = max(map(len, vocab), default=1)
+        self.table: dict[str, dict[str, bool]] = {}
+        self.steps = 0
         self.right: dict[str, list[tuple[str, int, float]]] = {}
         self.left: dict[str, list[tuple[str, int, float]]] = {}
 
@@ -66,53 +71,66 @@ class Automaton:
             token, gone = self.parts[token][side], made
 
     def allowed(self, x: str, y: str) -> bool:
-        """Whether the automaton has the step from state x to state y."""
-        found = self.table.get((x, y))
-        if found is None:
-            ends, begins = self.right.get(x), self.left.get(y)
-            if ends is None:
-                ends = self.right[x] = self._spine(x, 1)
-            if begins is None:
-                begins = self.left[y] = self._spine(y, 0)
-            rank, found = self.rank, True
-            for u, u_made, u_gone in ends:
-                for v, v_made, v_gone in begins:
-                    k = rank.get((u, v))
-                    # where one rule could act both inside x (or y) and between them, the leftmost place wins
-                    if k is not None and u_made < k < u_gone and v_made < k <= v_gone:
-                        found = False
-                        break
-                if not found:
+        """Whether the automaton has the step from state x to state y; enters it into the table."""
+        ends, begins = self.right.get(x), self.left.get(y)
+        if ends is None:
+            ends = self.right[x] = self._spine(x, 1)
+        if begins is None:
+            begins = self.left[y] = self._spine(y, 0)
+        rank, found = self.rank, True
+        for u, u_made, u_gone in ends:
+            for v, v_made, v_gone in begins:
+                k = rank.get((u, v))
+                # where one rule could act both inside x (or y) and between them, the leftmost place wins
+                if k is not None and u_made < k < u_gone and v_made < k <= v_gone:
+                    found = False
                     break
-            if len(self.table) > 4_000_000:
-                self.table.clear()
-            self.table[x, y] = found
+            if not found:
+                break
+        if self.steps >= STEPS_KEPT:
+            self.table.clear()
+            self.steps = 0
+        self.steps += 1
+        self.table.setdefault(x, {})[y] = found
         return found
 
-    def encode(self, word: tuple[str, ...] | list[str]) -> list[str]:
-        """Tokens of one word, given as its symbols."""
-        n = len(word)
-        text, at = "".join(word), [0]
-        for s in word:
-            at.append(at[-1] + len(s))
-        last: list[str] = [""] * (n + 1)
-        start = [0] * (n + 1)
-        ids, allowed, longest = self.ids, self.allowed, self.longest
-        for i in range(1, n + 1):
-            j = i - 1
-            while j >= 0 and at[i] - at[j] <= longest:
-                token = text[at[j] : at[i]]
-                if token in ids and (token in self.parts or i - j == 1) and (j == 0 or (last[j] and allowed(last[j], token))):
-                    last[i], start[i] = token, j
-                    break
-                j -= 1
-        out, i = [], n
-        while i > 0:
-            if not last[i]:
-                raise ValueError(f"no token ends at {i} of {text!r}")
-            out.append(last[i])
-            i = start[i]
-        return out[::-1]
+    def encode(self, word: str) -> list[str]:
+        """Tokens of one word, given as its letters."""
+        marked, states, table, longest, none = word + self.end, self.states, self.table, self.longest, {}
+        inner, total = len(word) - 1, len(word + self.end)  # ends of tokens: 1 to inner, and total
+        out: list[str] = []
+        at, dead, x, stop = 0, set(), None, total
+        while at < total:
+            if stop - at > longest:
+                stop = min(inner, at + longest)
+            row = table.get(x, none)
+            while stop > at:
+                token = marked[at:stop]
+                if token in states and stop not in dead:
+                    step = x is None or row.get(token)
+                    if step is None:
+                        step = self.allowed(x, token)
+                    if step:
+                        break
+                stop = stop - 1 if stop < total else inner
+            if stop > at:
+                out.append(token)
+                at, x, stop = stop, token, total
+            elif out:
+                dead.add(at)
+                stop, at = at, at - len(out.pop())
+                x = out[-1] if out else None
+            else:
+                raise ValueError(f"no tokens for {word!r}")
+        return out
+
+
+def _keep(table: dict, key: str, value: object, most: int) -> None:
+    """Enter a key that is not too long into a table of at most `most` entries, which starts anew when full."""
+    if len(key) <= LONGEST_KEPT:
+        if len(table) >= most:
+            table.clear()
+        table[key] = value
 
 
 class WordCodec:
@@ -122,46 +140,47 @@ class WordCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self.end = model["end_of_word_suffix"] or ""
+        self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
+        self.numbers = {t: str(i) for t, i in model["vocab"].items()}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in self.special))
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.labels = {**self.automaton.label, **{i: t for t, i in self.special.items()}}
         self.path, self.library = path, None
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.coded: dict[str, list[str]] = {}
 
-    def words(self, piece: str) -> list[list[str]]:
-        """The symbols of each word of a piece.
+    def words(self, piece: str) -> list[str]:
+        """The letters of each word of a piece.
 
         Unicode tables differ between Python and the tokenizers library in characters that Python holds for unassigned;
         a piece with one is normalised and split by the library, so its words are the library's.
         """
         if piece.isascii():
-            return [[self.letters[b] for b in w.encode()] for w in self.pattern.findall(piece.lower())]
+            return [w.translate(self.letters) for w in self.pattern.findall(piece.lower())]
         if any(unicodedata.category(c) == "Cn" for c in piece):
             if self.library is None:
                 from tokenizers import Tokenizer
 
                 self.library = Tokenizer.from_file(self.path)
-            return [list(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
         clean = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return [[self.letters[b] for b in w.encode()] for w in self.pattern.findall(clean)]
+        return [w.encode().decode("latin-1").translate(self.letters) for w in self.pattern.findall(clean)]
 
     def chunk(self, piece: str) -> tuple[int, str, str]:
         """Number of ids, ids and labels of a piece of text without white space, kept for next time."""
         found = self.kept.get(piece)
         if found is None:
             tokens: list[str] = []
-            for symbols in self.words(piece):
-                symbols[-1] += self.end
-                tokens += self.automaton.encode(symbols)
-            ids = self.automaton.ids
-            found = (len(tokens), " ".join(str(ids[t]) for t in tokens), " ".join(tokens))
-            if len(self.kept) >= WORDS_KEPT:
-                self.kept.clear()
-            self.kept[piece] = found
+            for word in self.words(piece):
+                arcs = self.coded.get(word)
+                if arcs is None:
+                    arcs = self.automaton.encode(word)
+                    _keep(self.coded, word, arcs, WORDS_KEPT)
+                tokens += arcs
+            found = (len(tokens), " ".join(map(self.numbers.__getitem__, tokens)), " ".join(tokens))
+            _keep(self.kept, piece, found, PIECES_KEPT)
         return found
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
