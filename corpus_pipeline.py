@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, mixing, quality, rules, simhash
+from factloom.llm import bpe, mixing, nearcopies, quality, rules
 from factloom.llm.shared import table, word_count, write_shared
 
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return simhash.keep_first(docs)
+    """One row of each component of near copies (5-word shingles, Jaccard 0.8 or more; op9's own setting is narrower)."""
+    return nearcopies.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
