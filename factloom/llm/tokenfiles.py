@@ -16,16 +16,16 @@ The segments stand in a table in the shared folder (or a path of your own), writ
 number of the file, of the segment in it and the doc_ids beside the bytes.
 
 Defined cases: a null text has only the end id; null doc_ids come first; rows that repeat a doc_id stay apart, in order
-of their texts; an empty table makes an empty store.
+of a hash of their texts (and of the texts), so even many of them are dealt over several files; a very long text makes one
+long segment; an empty table makes an empty store; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import string
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import SPACE, small_side, write_shared
+from factloom.llm.ngrams import row_slices, utf8
+from factloom.llm.shared import small_side, write_shared
 
 MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 SEGMENT_IDS = 1 << 18
+SLICE_BYTES = 3 << 20
 PATCH = np.dtype([("place", "u1"), ("value", "<u4")])
 KEPT = 400_000
-#: What byte-level pre-splitting cuts at white space can be encoded piece by piece.
-PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -121,16 +121,34 @@ def unpack(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1)[:n], lengths
 
 
-#: Marks that the pre-splitting always cuts from a letter or digit before them.
-TAIL = ".,;:!?*#$%&|"
-#: White space one by one.
-WHITE = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c)))
+#: Bytes of white space, ASCII letters and digits, and ASCII marks.
+_WHITE, _PLAIN, _MARK = (np.array([chr(b) in some for b in range(128)] + [False] * 128) for some in (" \t\n\v\f\r\x1c\x1d\x1e\x1f", string.ascii_letters + string.digits, string.punctuation))
+
+
+def pre_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places in the bytes of texts (which begin at starts) where byte-level pre-splitting cuts for certain.
+
+    It cuts before a space that a non-space follows, and after a letter or digit before a mark or white space. Bytes
+    beyond ASCII count only where they are surely no white space (before) or surely a letter (after).
+    """
+    n = len(data)
+    after, later, before, earlier = (np.zeros(n, np.uint8) for _ in range(4))
+    after[:-1], later[:-2], before[1:], earlier[2:] = data[1:], data[2:], data[:-1], data[:-2]
+    solid = (after < 0x80) & ~_WHITE[after] | (after >= 0xC3) & ~((after >= 0xE1) & (after <= 0xE3)) | (after == 0xC2) & (later > 0xA0)
+    letter = _PLAIN[before] | (earlier == 0xC3) & (before != 0x97) & (before != 0xB7)
+    cut = (data == 0x20) & solid | letter & (_MARK[data] | _WHITE[data])
+    cut[starts[starts < n]] = True
+    return np.flatnonzero(cut)
 
 
 class PieceEncoder:
-    """Encodes texts with the tokenizers library, asking it once for each piece between white space (kept in a bounded table)."""
+    """Encodes texts with the tokenizers library, asking it once for each piece between certain cuts (kept in a bounded table).
 
-    def __init__(self, path: str):
+    Pieces are told apart by Arrow's dictionary encoding and their ids are gathered from one array, so Python sees each
+    distinct piece of a batch once.
+    """
+
+    def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -144,50 +162,68 @@ class PieceEncoder:
         self.length = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.length[i] = len(token)  # byte-level labels have a letter for each byte
-        self.kept: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ask_words(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces that each begin with a space and hold no other: asked for as one text and cut by the tokens' bytes."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(self.length[ids])
-        at = np.searchsorted(ends, np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])) + 1
-        body = ids.tobytes()
-        return [body[4 * a : 4 * b] for a, b in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian u32; a text that holds a special token goes to the library whole."""
-        cut = [None if any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
-        used = set(chain.from_iterable(pieces for pieces in cut if pieces))
-        new = used.difference(self.kept)
-        if len(self.kept) > KEPT:  # what this call uses holds the frequent pieces
-            self.kept = {p: self.kept[p] for p in used.difference(new)}
-        ended = {}
-        for p in new:
-            word = p.rstrip(TAIL)
-            if word != p and word[-1:].isalnum():
-                ended[p] = (word, p[len(word) :])
-        asked = new.difference(ended).union(chain.from_iterable(ended.values())).difference(self.kept)
-        spaced = [p for p in asked if p[0] == " " and len(p) > 1 and p[1] not in WHITE]
+        self.end_id = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the table; its entry 0 is the end of a document."""
+        self.kept: dict[bytes, int] = {}
+        self.ids = np.array([self.end_id], np.uint32)
+        self.begins, self.counts = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Enter new pieces. Those that begin with a space and hold no other are asked for as one text and cut by the tokens' bytes."""
+        spaced = [p for p in pieces if p[0] == 0x20 and len(p) > 1 and b" " not in p[1:]]
+        found, counts = [self.ids], [self.counts]
         for at in range(0, len(spaced), 1000):
-            self.kept.update(zip(spaced[at : at + 1000], self._ask_words(spaced[at : at + 1000]), strict=True))
-        others = list(asked.difference(spaced))
-        self.kept.update(zip(others, self._ask(others), strict=True))
-        for p, (word, tail) in ended.items():
-            self.kept[p] = self.kept[word] + self.kept[tail]
-        get = self.kept.__getitem__
-        return [self._ask([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
-
-
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+            part = spaced[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(list(map(len, part)))) + 1
+            found.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        others = list(set(pieces).difference(spaced)) if len(spaced) < len(pieces) else []
+        for e in self.tokenizer.encode_batch_fast([p.decode() for p in others], add_special_tokens=False):
+            found.append(np.array(e.ids, np.uint32))
+            counts.append(np.array([len(e.ids)]))
+        self.kept.update(zip(spaced + others, range(len(self.kept) + 1, len(self.kept) + 1 + len(pieces)), strict=True))
+        self.ids, self.counts = np.concatenate(found), np.concatenate(counts)
+        self.begins = np.cumsum(self.counts) - self.counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (u32) of texts, each text's ended by the end id, and how many each text has; a null text is empty."""
+        data, offsets = utf8(texts)
+        starts = pre_cuts(data, offsets[:-1])
+        if any(s.encode() in data.tobytes() for s in self.special):  # a text with a special token goes to the library whole
+            marked = [any(s in t for s in self.special) for t in texts.fill_null("").to_pylist()]
+            doc = np.searchsorted(offsets, starts, side="right") - 1
+            starts = starts[~np.array(marked)[doc] | (offsets[doc] == starts)]
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        own = pieces.dictionary.to_pylist()
+        if len(self.kept) > KEPT or len(self.ids) > 16 * KEPT:
+            self._forget()
+        numbers = list(map(self.kept.get, own))
+        new = [p for p, k in zip(own, numbers, strict=True) if k is None]
+        if new:
+            self._learn(new)
+            numbers = [self.kept[p] if k is None else k for p, k in zip(own, numbers, strict=True)]
+        numbers = np.array(numbers, np.int64)[pieces.indices.to_numpy()]
+        stops = np.searchsorted(starts, offsets[1:])  # pieces before each text's end
+        numbers = np.insert(numbers, stops, 0)
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.begins[numbers] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        last = ends[stops + np.arange(len(stops))]
+        return ids, np.diff(last, prepend=0).astype(np.uint32)
+
+
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def encoder(path: str, end_id: int = END_ID) -> PieceEncoder:
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = PieceEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 SEGMENTS = "file int, segment long, doc_ids array<long>, n_ids long, bytes binary"
@@ -195,27 +231,21 @@ SEGMENTS = "file int, segment long, doc_ids array<long>, n_ids long, bytes binar
 
 def _segments(path: str, end_id: int):
     def run(batches):
-        file, number, own, end = TaskContext.get().partitionId(), 0, encoder(path), struct.pack("<I", end_id)
-        docs: list = []
-        bodies: list[bytes] = []
-        held = 0
+        file, number, own = TaskContext.get().partitionId(), 0, encoder(path, end_id)
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def segment():
-            lengths = np.array([len(b) // 4 for b in bodies], np.uint32)
-            ids = np.frombuffer(b"".join(bodies), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, lengths)], pa.binary())], names=["file", "segment", "doc_ids", "n_ids", "bytes"])
+            docs, ids, lengths = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            docs = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int64()), docs, pa.array([len(ids)], pa.int64()), pa.array([pack(ids, lengths)], pa.binary())], names=["file", "segment", "doc_ids", "n_ids", "bytes"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, body in zip(part.column("doc_id").to_pylist(), own.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    docs.append(doc)
-                    bodies.append(body + end)
-                    held += len(body) // 4 + 1
-                    if held >= SEGMENT_IDS:
-                        yield segment()
-                        docs, bodies, held, number = [], [], 0, number + 1
-        if docs:
+            for at, length in row_slices(batch.column("text"), SLICE_BYTES):
+                held.append((batch.column("doc_id").slice(at, length), *own.encode(batch.column("text").slice(at, length))))
+                if sum(len(h[1]) for h in held) >= SEGMENT_IDS:
+                    yield segment()
+                    held, number = [], number + 1
+        if held:
             yield segment()
 
     return run
@@ -223,7 +253,8 @@ def _segments(path: str, end_id: int):
 
 def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, to: str | None = None) -> DataFrame:
     """Encode docs(doc_id, text) into segments, in ascending doc_id order over all files, and write them (to a path, or the shared folder)."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     made = ordered.mapInArrow(_segments(path, end_id), SEGMENTS)
     if to is None:
         return write_shared(made, "token-files")
@@ -231,15 +262,39 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, to: str | None =
     return docs.sparkSession.read.schema(SEGMENTS).parquet(to)
 
 
-def read_documents(segments: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids before the document in the whole store), n_tokens, ids_crc32 and, if asked, ids of every document, from the segments' bytes."""
+def segment_starts(segments: DataFrame) -> DataFrame:
+    """file, segment, first: the number of ids before each segment in the whole store; a written table."""
     whole = Window.orderBy("file")
     own = Window.partitionBy("file").orderBy("segment")
     sizes = segments.select("file", "segment", "n_ids")
     files = sizes.groupBy("file").agg(F.sum("n_ids").alias("n"))  # one row a file
     files = files.select("file", (F.sum("n").over(whole) - F.col("n")).alias("before"))
     starts = sizes.withColumn("within", F.sum("n_ids").over(own) - F.col("n_ids")).join(files, "file").select("file", "segment", (F.col("before") + F.col("within")).alias("first"))
-    starts = write_shared(starts, "token-starts")
+    return write_shared(starts, "token-starts")
+
+
+def read_span(segments: DataFrame, first: int, n: int) -> DataFrame:
+    """The ids from place `first` of the whole store up to `n` of them: rows (at, ids), one a block; only blocks that hold them are decoded."""
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                segment, base, count = [batch.column(c)[i].as_py() for c in ("bytes", "first", "n_ids")]
+                low, high = max(first - base, 0), min(first + n - base, count)
+                starts, places, found = block_starts(segment), [], []
+                for block in range(low // BLOCK, -(-high // BLOCK)):
+                    ids = unpack_block(segment, int(starts[block]))
+                    a, b = max(low - block * BLOCK, 0), min(high - block * BLOCK, BLOCK)
+                    places.append(base + block * BLOCK + a)
+                    found.append(ids[a:b].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["at", "ids"])
+
+    held = segments.join(small_side(segment_starts(segments)), ["file", "segment"]).where((F.col("first") < first + n) & (F.col("first") + F.col("n_ids") > first))
+    return held.select("first", "n_ids", "bytes").mapInArrow(run, "at long, ids array<int>")
+
+
+def read_documents(segments: DataFrame, with_ids: bool = False) -> DataFrame:
+    """doc_id, start (ids before the document in the whole store), n_tokens, ids_crc32 and, if asked, ids of every document, from the segments' bytes."""
+    starts = segment_starts(segments)
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches):

@@ -8,7 +8,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -89,7 +91,9 @@ def test_segments_round_trip(docs):
 def test_token_files(which, request):
     docs, own = request.getfixturevalue(which), library(BYTE_BPE)
     at, expected = 0, []
-    for doc, text in sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    digest = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t, 42)).view(np.int64))
+    rows = [(r["doc_id"], digest(r["text"]), r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    for doc, _, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = [*own.encode(text, add_special_tokens=False).ids, 2]
         expected.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -97,6 +101,26 @@ def test_token_files(which, request):
     assert sorted((tuple(r) for r in found), key=lambda r: r[1]) == expected
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(" \n\t\x85\xa0\u2003\u3000ab1é×÷.,'-¿<|>", max_size=40)), max_size=8))
+def test_pieces_are_the_librarys(texts):
+    own = tokenfiles.encoder(BYTE_BPE)
+    ids, lengths = own.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(lengths, dtype=np.int64)
+    for text, n, end in zip(texts, lengths.tolist(), ends.tolist(), strict=True):
+        assert ids[end - n : end].tolist() == [*own.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_blocks_are_read_alone(spark, documents):
+    """A span of the whole store's ids, from the blocks that hold it."""
+    store = tokenfiles.write_ids(documents, BYTE_BPE)
+    whole = [i for r in tokenfiles.read_documents(store, with_ids=True).orderBy("start").collect() for i in r["ids"]]
+    for first, n in ((0, 1), (len(whole) - 5, 50), (1000, 3000), (len(whole), 3)):
+        rows = tokenfiles.read_span(store, first, n).orderBy("at").collect()
+        assert [i for r in rows for i in r["ids"]] == whole[first : first + n]
+        assert all(len(r["ids"]) <= tokenfiles.BLOCK for r in rows)
+
+
 ODD_TEXTS = ["", " ", "<|endoftext|>", "a<|startoftext|>b", "<|end<|endoftext|>", "it's we'll I'VE", "x　y\x85z\x1cq", "İI ΑΣ Σ ΣΑΣ. ſ K", "é é ﬁ 가", "12345 1,000 ٣", "👩‍👩‍👧 😀", "\x00​﻿", ":\U000323b0", "a\u088fb\U0003d000", "aaaa" * 50, "ababab" * 30, "!!!???...", "İstanbul"]
 
 
