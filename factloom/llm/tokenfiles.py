@@ -40,7 +40,7 @@ MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 SEGMENT_IDS = 1 << 18
 SLICE_BYTES = 3 << 20
 PATCH = np.dtype([("place", "u1"), ("value", "<u4")])
-KEPT = 400_000
+KEPT = 800_000
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -121,8 +121,13 @@ def unpack(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1)[:n], lengths
 
 
-#: Bytes of white space, ASCII letters and digits, and ASCII marks.
-_WHITE, _PLAIN, _MARK = (np.array([chr(b) in some for b in range(128)] + [False] * 128) for some in (" \t\n\v\f\r\x1c\x1d\x1e\x1f", string.ascii_letters + string.digits, string.punctuation))
+#: For each byte: 1 ASCII white space, 2 ASCII letter or digit, 4 ASCII mark, 8 surely begins no white space.
+_WHITE, _PLAIN, _MARK, _SOLID = 1, 2, 4, 8
+_KINDS = bytes(
+    _WHITE if chr(b) in " \t\n\v\f\r\x1c\x1d\x1e\x1f" else _SOLID | (_PLAIN if chr(b) in string.ascii_letters + string.digits else _MARK if chr(b) in string.punctuation else 0)
+    if b < 128 or (b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3)) else 0
+    for b in range(256)
+)
 
 
 def pre_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -132,11 +137,15 @@ def pre_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     beyond ASCII count only where they are surely no white space (before) or surely a letter (after).
     """
     n = len(data)
-    after, later, before, earlier = (np.zeros(n, np.uint8) for _ in range(4))
-    after[:-1], later[:-2], before[1:], earlier[2:] = data[1:], data[2:], data[:-1], data[:-2]
-    solid = (after < 0x80) & ~_WHITE[after] | (after >= 0xC3) & ~((after >= 0xE1) & (after <= 0xE3)) | (after == 0xC2) & (later > 0xA0)
-    letter = _PLAIN[before] | (earlier == 0xC3) & (before != 0x97) & (before != 0xB7)
-    cut = (data == 0x20) & solid | letter & (_MARK[data] | _WHITE[data])
+    kinds = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+    cut = np.zeros(n, bool)
+    if n > 1:
+        solid = (kinds[1:] & _SOLID) > 0
+        solid[:-1] |= (data[1:-1] == 0xC2) & (data[2:] > 0xA0)
+        cut[:-1] = (data[:-1] == 0x20) & solid
+        letter = (kinds[:-1] & _PLAIN) > 0
+        letter[1:] |= (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+        cut[1:] |= letter & ((kinds[1:] & (_MARK | _WHITE)) > 0)
     cut[starts[starts < n]] = True
     return np.flatnonzero(cut)
 
@@ -199,8 +208,8 @@ class PieceEncoder:
             starts = starts[~np.array(marked)[doc] | (offsets[doc] == starts)]
         bounds = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
-        own = pieces.dictionary.to_pylist()
-        if len(self.kept) > KEPT or len(self.ids) > 16 * KEPT:
+        own = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.kept) > KEPT or len(self.ids) > 8 * KEPT:
             self._forget()
         numbers = list(map(self.kept.get, own))
         new = [p for p, k in zip(own, numbers, strict=True) if k is None]
