@@ -1,19 +1,24 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-States are the tokens read last. The automaton starts with all pairs of tokens allowed; the gadget of merge number k
-(u v -> w) then forbids every step x -> y where, at time k, x still ends in u and y still begins with v, for there the
-merge would have joined them. Along x's right spine and y's left spine each part is present from the merge that makes it
-to the merge that consumes it, so a gadget comes down to comparing those times, and steps are entered into the
-transition table when first asked for. A sequence of tokens is the encoding of its text exactly if the automaton accepts
-it, and every prefix of a word has at most one accepted sequence. Encoding follows arcs from the start of the word, the
-longest first, and steps back where none leads on; as one state stands for each prefix, a prefix is given up only once.
-Decoding emits the labels of the arcs.
+The automaton reads tokens; its language are the token sequences that BPE makes. It is compiled by applying one merge
+gadget after another to the automaton of single letters, which has one state with an arc to itself for each letter. The
+gadget of merge u v -> w takes the state q that u's arcs lead to: u's arcs lead from now on to a copy of q without its arc
+for v, and whatever state has an arc for u gets one for w, to where v's arcs lead. Two things keep this small. All arcs
+of one token lead to one state, so the automaton is a table from tokens to states; and a state only lacks arcs, so it is
+the list of what it lacks. A state that lacks u never gets w, so what one gadget takes away is v and all tokens that
+later grow from v on the right: a span, if tokens are numbered in preorder of "begins with", latest first. States that
+lack the same are one state. The result is deterministic: state and token give the next state, or none.
+
+Words are read letter by letter. Every prefix of a word has exactly one accepted sequence, so one token is noted for each
+prefix: the one that ends there and has an arc from the state that the prefix before it leads to. There is no search and
+no stepping back; the work is the letters times the longest token. Decoding emits the labels of the arcs.
 
 Pieces between white space repeat, and so do the words that the tokenizer's pattern cuts from them when normalised; the
 encodings of both are kept in tables of bounded size.
 
 Defined cases: a null text is empty; an empty text has no ids; special tokens inside a text become their ids, as the
-tokenizers library does by default; equal texts give equal rows.
+tokenizers library does by default; equal texts give equal rows, also rows that repeat; null doc_ids pass through; texts
+of any length are read in one pass; a table without rows gives none; other columns of the input are not returned.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 import regex
@@ -30,7 +36,6 @@ from pyspark.sql import DataFrame
 from factloom.llm.shared import SPACE
 
 PIECES_KEPT, WORDS_KEPT, LONGEST_KEPT = 250_000, 200_000, 100
-STEPS_KEPT = 4_000_000
 _CHUNK = re.compile(f"[^{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -42,87 +47,114 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def preorder(tokens: list[str], merges: list[tuple[str, str]]) -> dict[str, int]:
+    """A number for each token: letters, and after each token those that merges grow from it on the right, the latest first."""
+    grown: dict[str, list[str]] = {}
+    for u, v in merges:
+        grown.setdefault(u, []).append(u + v)
+    made, number = {u + v for u, v in merges}, {}
+    ahead = [t for t in tokens if t not in made]
+    while ahead:
+        token = ahead.pop()
+        number[token] = len(number)
+        ahead += grown.get(token, ())
+    return number
+
+
 class Automaton:
-    """The tokenization automaton of a vocabulary and its merges in order; end is the mark of a word's last letter."""
+    """The tokenization automaton of a vocabulary and its merges in order; end is the mark of a word's last letter.
+
+    number: the place of each token in preorder; state: the state that its arcs lead to; lacks: for each state the bounds
+    of the spans of places that it has no arc for, ascending (so a place is lacking if an odd number of bounds is at or
+    below it).
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
-        self.label = {i: t for t, i in vocab.items()}
-        self.end, self.parts, self.time = end, {}, {}
-        self.rank: dict[tuple[str, str], int] = {}
-        for k, (u, v) in enumerate(merges):
-            self.rank[u, v] = k
-            self.parts.setdefault(u + v, (u, v))
-            self.time.setdefault(u + v, k)
-        self.states = {t for t in vocab if t in self.parts or len(t.removesuffix(end)) == 1 or len(t) == 1}
-        self.longest = max(map(len, vocab), default=1)
-        self.table: dict[str, dict[str, bool]] = {}
-        self.steps = 0
-        self.right: dict[str, list[tuple[str, int, float]]] = {}
-        self.left: dict[str, list[tuple[str, int, float]]] = {}
-
-    def _spine(self, token: str, side: int) -> list[tuple[str, int, float]]:
-        """The parts at one edge of a token, each with the time it is made and the time it is consumed."""
-        spine, gone = [], float("inf")
-        while True:
-            made = self.time.get(token, -1)
-            spine.append((token, made, gone))
-            if token not in self.parts:
-                return spine
-            token, gone = self.parts[token][side], made
-
-    def allowed(self, x: str, y: str) -> bool:
-        """Whether the automaton has the step from state x to state y; enters it into the table."""
-        ends, begins = self.right.get(x), self.left.get(y)
-        if ends is None:
-            ends = self.right[x] = self._spine(x, 1)
-        if begins is None:
-            begins = self.left[y] = self._spine(y, 0)
-        rank, found = self.rank, True
-        for u, u_made, u_gone in ends:
-            for v, v_made, v_gone in begins:
-                k = rank.get((u, v))
-                # where one rule could act both inside x (or y) and between them, the leftmost place wins
-                if k is not None and u_made < k < u_gone and v_made < k <= v_gone:
-                    found = False
-                    break
-            if not found:
-                break
-        if self.steps >= STEPS_KEPT:
-            self.table.clear()
-            self.steps = 0
-        self.steps += 1
-        self.table.setdefault(x, {})[y] = found
-        return found
+        self.label, self.end = {i: t for t, i in vocab.items()}, end
+        made = {u + v for u, v in merges}
+        if len(made) != len(merges):
+            raise ValueError("two merges make one token")
+        self.number = preorder([t for t in vocab if t in made or len(t.removesuffix(end)) == 1 or len(t) == 1], merges)
+        self._compile(merges)
+        self.tails: dict[str, int] = {}  # whatever some token ends in: the token's place, or -1 if it is none itself
+        for token in self.state:
+            for k in range(len(token.removesuffix(end)) if end else len(token)):
+                self.tails.setdefault(token[k:], -1)
+            self.tails[token] = self.number[token]
+
+    def _compile(self, merges: list[tuple[str, str]]) -> None:
+        size = dict.fromkeys(self.number, 1)
+        for u, v in reversed(merges):
+            size[u] += size[u + v]
+        # what a state lacks, as a chain of spans: a copy of a state shares the chain of the state it is made from
+        chain: dict[str, tuple] = dict.fromkeys(self.number, ())
+        for u, v in merges:
+            if u not in chain or v not in chain or self._lacking(chain[u], self.number[v]):
+                chain.pop(u + v)  # no path for the gadget to act on, so the token never comes up
+            else:
+                chain[u + v] = chain[v]  # before the next line: of two equal letters a third one may follow the pair
+                chain[u] = (chain[u], self.number[v], self.number[v] + size[v])
+            size[u] -= size[u + v]  # what has grown from u so far; only what grows later goes with it
+        found: dict[tuple[int, ...], int] = {}
+        known: dict[int, int] = {}
+        self.state: dict[str, int] = {}
+        for token, links in chain.items():
+            if id(links) not in known:
+                known[id(links)] = found.setdefault(self._bounds(links), len(found))
+            self.state[token] = known[id(links)]
+        self.lacks = list(found)
+
+    @staticmethod
+    def _lacking(links: tuple, place: int) -> bool:
+        while links:
+            links, first, stop = links
+            if first <= place < stop:
+                return True
+        return False
+
+    @staticmethod
+    def _bounds(links: tuple) -> tuple[int, ...]:
+        spans, bounds = [], []
+        while links:
+            links, first, stop = links
+            spans.append((first, stop))
+        for first, stop in sorted(spans):
+            if bounds and first <= bounds[-1]:
+                bounds[-1] = max(bounds[-1], stop)
+            else:
+                bounds += first, stop
+        return tuple(bounds)
+
+    def step(self, state: int | None, token: str) -> int | None:
+        """The state that a token's arc leads to, or None where the state has no such arc. None is the start, which has all."""
+        if state is not None and bisect_right(self.lacks[state], self.number[token]) % 2:
+            return None
+        return self.state.get(token)
 
     def encode(self, word: str) -> list[str]:
         """Tokens of one word, given as its letters."""
-        marked, states, table, longest, none = word + self.end, self.states, self.table, self.longest, {}
-        inner, total = len(word) - 1, len(word + self.end)  # ends of tokens: 1 to inner, and total
-        out: list[str] = []
-        at, dead, x, stop = 0, set(), None, total
-        while at < total:
-            if stop - at > longest:
-                stop = min(inner, at + longest)
-            row = table.get(x, none)
-            while stop > at:
-                token = marked[at:stop]
-                if token in states and stop not in dead:
-                    step = x is None or row.get(token)
-                    if step is None:
-                        step = self.allowed(x, token)
-                    if step:
+        tails, lacks, state = self.tails, self.lacks, self.state
+        at: list[int | None] = [None] * (len(word) + 1)  # the state that each prefix leads to
+        last: list[str] = [""] * (len(word) + 1)  # and the last token of its sequence
+        for stop in range(1, len(word) + 1):
+            end = self.end if stop == len(word) else ""
+            for start in range(stop - 1, -1, -1):  # at most one of the tokens that end here has its arc
+                token = word[start:stop] + end
+                place = tails.get(token)
+                if place is None:
+                    break
+                if place >= 0:
+                    before = at[start]
+                    if start == 0 or (before is not None and bisect_right(lacks[before], place) % 2 == 0):
+                        at[stop], last[stop] = state[token], token
                         break
-                stop = stop - 1 if stop < total else inner
-            if stop > at:
-                out.append(token)
-                at, x, stop = stop, token, total
-            elif out:
-                dead.add(at)
-                stop, at = at, at - len(out.pop())
-                x = out[-1] if out else None
-            else:
-                raise ValueError(f"no tokens for {word!r}")
-        return out
+        if word and not last[-1]:
+            raise ValueError(f"no tokens for {word!r}")
+        out, stop = [], len(word)
+        while stop:
+            out.append(last[stop])
+            stop -= len(last[stop].removesuffix(self.end) if stop == len(word) and self.end else last[stop])
+        return out[::-1]
 
 
 def _keep(table: dict, key: str, value: object, most: int) -> None:
@@ -141,7 +173,7 @@ class WordCodec:
             spec = json.load(f)
         model = spec["model"]
         self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
-        self.numbers = {t: str(i) for t, i in model["vocab"].items()}
+        self.ids = model["vocab"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in self.special))
@@ -169,7 +201,7 @@ class WordCodec:
         return [w.encode().decode("latin-1").translate(self.letters) for w in self.pattern.findall(clean)]
 
     def chunk(self, piece: str) -> tuple[int, str, str]:
-        """Number of ids, ids and labels of a piece of text without white space, kept for next time."""
+        """Number of ids, ids and decoded ids of a piece of text without white space, kept for next time."""
         found = self.kept.get(piece)
         if found is None:
             tokens: list[str] = []
@@ -179,12 +211,13 @@ class WordCodec:
                     arcs = self.automaton.encode(word)
                     _keep(self.coded, word, arcs, WORDS_KEPT)
                 tokens += arcs
-            found = (len(tokens), " ".join(map(self.numbers.__getitem__, tokens)), " ".join(tokens))
+            ids = [self.ids[t] for t in tokens]
+            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             _keep(self.kept, piece, found, PIECES_KEPT)
         return found
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, the decimal ids joined by a space, and the decoded text."""
+        """Number of ids, the decimal ids joined by a space, and their decoding."""
         text, kept, found = text or "", self.kept, []
         sections = [s for s in self.split.split(text) if s] if "<|" in text else [text]
         for section in sections:
