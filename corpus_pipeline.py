@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = word_count(F.col("text")).alias("size")
     planned = mixing.plan(write_shared(docs.select("doc_id", "source", size), "mix-sizes"))
     copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    return mixing.with_copies(docs, planned).where("mix_copies > 0").withColumn("mix_copy", copies).select(*docs.columns)
+    return mixing.with_copies(docs, planned, word_count(F.col("text"))).where("mix_copies > 0").withColumn("mix_copy", copies).select(*docs.columns)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target divided by its size is the number of copies that each of its documents should have. The whole part is
-certain: every document gets so many copies. The rest is an inclusion probability p, and documents are ranked by random
-odds divided by inclusion odds, u / (1 - u) / (p / (1 - p)); the first in rank get one more copy until the source's
-words are used up (to the nearest document). The size of the sample is thus fixed in words. p differs between sources
-and is the same within one, so within a source slices of the draw u are slices of the rank: one aggregate per slice
-finds the slice in which the words run out and only that slice's rows are ordered one by one.
-
-Defined cases: a null text has no words; a document without words takes none; null is a source of its own, last in
-order; rows that share source, draw and doc_id stand or fall together; a null doc_id draws as the word "null"; an empty
-table gives an empty plan; columns that the input has besides pass through, and the operator's own columns begin with
-"mix_", so they clash with none.
+Within a source the copies that a document should have fall with the logarithm of its size: they are `level` times
+(64 - 3 times the size's bits), CAP at most, where one level for each source makes the expected words meet the target. The
+whole part is certain: the document gets so many copies. The rest is its inclusion probability p, so documents of one
+source have unequal ones. They are ranked by random odds divided by inclusion odds, u / (1 - u) / (p / (1 - p)), and the
+first in rank get one more copy until the source's words are used up (to the nearest document). The size of the sample is
+thus fixed in words.
+
+A source may be of any size: slices of the rank are summed first, and only the rows of the slice in which the words run
+out are ordered one by one.
+
+Defined cases: a null text has no words; a document without words takes none; a source whose target is CAP times its size
+takes all of it CAP times; null is a source of its own, last in order; rows that share source, ratio and doc_id stand or
+fall together; a null doc_id draws as the word "null"; a very long text is one row of one large size; an empty table gives
+an empty plan; columns that the input has besides pass through, and the operator's own columns begin with "mix_", so they
+clash with none.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 SEED = 17
-SLICES = 4096
+SLICES = 1 << 14
 
 
 def _draw(doc_id: Column, seed: int) -> Column:
@@ -56,35 +60,61 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
+def copy_weight(size: Column) -> Column:
+    """What the expected copies of a document of this size are proportional to: from 64 down to 1."""
+    return F.greatest(F.lit(64) - 3 * F.when(size > 0, F.length(F.bin(size))).otherwise(0), F.lit(1))
+
+
+def _expected(size: Column, cap: float) -> Column:
+    """Copies that a document should have, from its source's target and level."""
+    full = F.col("mix_target") >= F.lit(cap) * F.col("mix_source_size")
+    return F.when(F.col("mix_source_size") == 0, 0.0).when(full, F.lit(cap)).otherwise(F.least(F.lit(cap), F.col("mix_level") * copy_weight(size)))
+
+
+def source_levels(sized: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
+    """targets with mix_level, and mix_rest, the words that are left for the sample after the certain copies. The windows run over sources and bits of sizes."""
+    words = sized.groupBy("source", copy_weight(F.col("size")).alias("g")).agg(F.sum("size").alias("words"))
+    words = words.join(small_side(targets), F.col("source").eqNullSafe(F.col("mix_source"))).drop("source")
+    own = Window.partitionBy("mix_source").orderBy(F.desc("g"))  # those that reach the cap first
+    before = F.coalesce(F.sum("words").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    onward = F.sum(F.col("words") * F.col("g")).over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = F.try_divide(F.col("mix_target") - F.lit(cap) * before, onward)
+    words = words.withColumn("mix_level", level).withColumn("mix_level", F.max("mix_level").over(Window.partitionBy("mix_source")))
+    full = F.col("mix_target") >= F.lit(cap) * F.col("mix_source_size")
+    whole = F.when(F.col("mix_source_size") == 0, 0).when(full, F.lit(cap)).otherwise(F.floor(F.least(F.lit(cap), F.col("mix_level") * F.col("g")))).cast("long")
+    return words.groupBy("mix_source", "mix_source_size", "mix_target", "mix_level").agg(F.sum(whole * F.col("words")).alias("certain")).withColumn("mix_rest", F.col("mix_target") - F.col("certain")).drop("certain")
+
+
+def _ranked(docs: DataFrame, planned: DataFrame, seed: int, cap: float, slices: int, size: Column) -> DataFrame:
+    """docs joined with their source's plan, with mix_whole, mix_p, mix_ratio and the slice of the rank (null where p is 0)."""
+    joined = docs.join(small_side(planned), docs["source"].eqNullSafe(F.col("mix_source"))).withColumn("mix_c", _expected(size, cap)).withColumn("mix_whole", F.floor("mix_c").cast("long"))
+    p = F.col("mix_c") - F.col("mix_whole")
+    ratio = F.when(p > 0, pareto_ratio(_draw(docs["doc_id"], seed), p))
+    return joined.withColumn("mix_ratio", ratio).withColumn("mix_at", F.floor(F.col("mix_ratio") / (1.0 + F.col("mix_ratio")) * slices))
+
+
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, slices: int = SLICES) -> DataFrame:
-    """One row per source of sized(doc_id, source, size): its size, target, certain copies, inclusion probability and the place in rank where its sample ends.
+    """One row per source of sized(doc_id, source, size): its size, target, level and the place in rank where its sample ends (mix_slice, mix_last).
 
     sized is read several times and should be a written table.
     """
-    targets = source_targets(sized, weights, share, cap)
-    ratio = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    targets = targets.withColumn("mix_whole", F.floor(ratio).cast("long")).withColumn("mix_p", ratio - F.col("mix_whole"))
-    targets = write_shared(targets.withColumn("mix_rest", F.col("mix_target") - F.col("mix_whole") * F.col("mix_source_size")), "mix-targets")
-    drawn = sized.select("doc_id", "source", "size", _draw(F.col("doc_id"), seed).alias("u")).withColumn("slice", F.floor(F.col("u") / (2**52 / slices)))
-    run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_slice = drawn.groupBy("source", "slice").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(run))
-    ends = (
-        by_slice.join(small_side(targets), F.col("source").eqNullSafe(F.col("mix_source")))
-        .where((F.col("mix_p") > 0) & (F.col("upto") >= F.col("mix_rest")))
-        .groupBy("mix_source", "mix_p", "mix_rest").agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
-        .select(F.col("mix_source").alias("end_source"), "mix_p", "mix_rest", F.col("end.slice").alias("mix_slice"), F.col("end.before").alias("before"))
-    )
-    ends = write_shared(ends, "mix-ends")
+    targets = write_shared(source_targets(sized, weights, share, cap), "mix-targets")
+    targets = write_shared(source_levels(sized, targets, cap), "mix-levels")
+    drawn = _ranked(sized.select("doc_id", "source", "size"), targets, seed, cap, slices, F.col("size")).where("mix_ratio is not null")
+    run = Window.partitionBy("source").orderBy("mix_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_slice = drawn.groupBy("source", "mix_at", "mix_rest").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(run))
+    ends = by_slice.where(F.col("upto") >= F.col("mix_rest")).groupBy("source").agg(F.min(F.struct("mix_at", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
+    ends = write_shared(ends.select(F.col("source").alias("end_source"), F.col("end.mix_at").alias("mix_slice"), F.col("end.before").alias("before")), "mix-ends")
     in_rank = Window.partitionBy("end_source").orderBy("mix_ratio", "mix_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = (
-        drawn.join(small_side(ends), F.col("source").eqNullSafe(F.col("end_source")) & (F.col("slice") == F.col("mix_slice")))
-        .groupBy("end_source", "mix_rest", "before", pareto_ratio(F.col("u"), F.col("mix_p")).alias("mix_ratio"), _order_id(F.col("doc_id")).alias("mix_id")).agg(F.sum("size").alias("size"))
+        drawn.join(small_side(ends), F.col("source").eqNullSafe(F.col("end_source")) & (F.col("mix_at") == F.col("mix_slice")))
+        .groupBy("end_source", "mix_rest", "before", "mix_ratio", _order_id(F.col("doc_id")).alias("mix_id")).agg(F.sum("size").alias("size"))
         .withColumn("upto", F.col("before") + F.sum("size").over(in_rank))
         .where(F.col("upto") - F.col("size") / 2 <= F.col("mix_rest"))
         .groupBy(F.col("end_source").alias("last_source")).agg(F.max(F.struct("mix_ratio", "mix_id")).alias("mix_last"))
     )
     found = targets.join(ends.select("end_source", "mix_slice"), F.col("mix_source").eqNullSafe(F.col("end_source")), "left").join(last, F.col("mix_source").eqNullSafe(F.col("last_source")), "left")
-    return write_shared(found.select("mix_source", "mix_source_size", "mix_target", "mix_whole", "mix_p", "mix_slice", "mix_last"), "mix-plan")
+    return write_shared(found.select("mix_source", "mix_source_size", "mix_target", "mix_level", F.coalesce("mix_slice", F.when(F.col("mix_rest") > 0, F.lit(slices))).alias("mix_slice"), "mix_last"), "mix-plan")
 
 
 def pareto_ratio(u: Column, p: Column) -> Column:
@@ -93,11 +123,10 @@ def pareto_ratio(u: Column, p: Column) -> Column:
     return at / (1.0 - at) / (p / (1.0 - p))
 
 
-def with_copies(docs: DataFrame, planned: DataFrame, seed: int = SEED, slices: int = SLICES) -> DataFrame:
-    """docs (doc_id, source, ...) with mix_source_size, mix_target and mix_copies. No shuffle of docs while the plan is small."""
-    u = _draw(F.col("doc_id"), seed)
-    at, end = F.floor(u / (2**52 / slices)), F.coalesce(F.col("mix_slice"), F.lit(-1))
-    here = F.struct(pareto_ratio(u, F.col("mix_p")).alias("mix_ratio"), _order_id(F.col("doc_id")).alias("mix_id"))
-    more = (F.col("mix_p") > 0) & ((at < end) | ((at == end) & F.coalesce(here <= F.col("mix_last"), F.lit(False))))
-    joined = docs.join(small_side(planned), F.col("source").eqNullSafe(F.col("mix_source")))
-    return joined.select(docs["*"], "mix_source_size", "mix_target", (F.col("mix_whole") + F.when(more, 1).otherwise(0)).alias("mix_copies"))
+def with_copies(docs: DataFrame, planned: DataFrame, size: Column, seed: int = SEED, cap: float = CAP, slices: int = SLICES) -> DataFrame:
+    """docs (doc_id, source, ...; size is a Column of them) with mix_source_size, mix_target and mix_copies. No shuffle of docs while the plan is small."""
+    ranked = _ranked(docs, planned, seed, cap, slices, size)
+    at, end = F.col("mix_at"), F.coalesce(F.col("mix_slice"), F.lit(-1))
+    here = F.struct("mix_ratio", _order_id(docs["doc_id"]).alias("mix_id"))
+    more = F.col("mix_ratio").isNotNull() & ((at < end) | ((at == end) & F.coalesce(here <= F.col("mix_last"), F.lit(False))))
+    return ranked.select(docs["*"], "mix_source_size", "mix_target", (F.col("mix_whole") + F.when(more, 1).otherwise(0)).alias("mix_copies"))

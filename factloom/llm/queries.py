@@ -13,7 +13,7 @@ from factloom.llm.shared import table, word_count, write_shared
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = write_shared(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    mixed = mixing.with_copies(sized, mixing.plan(sized))
+    mixed = mixing.with_copies(sized, mixing.plan(sized), F.col("size"))
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"))
 
 
@@ -100,17 +100,28 @@ WITH d AS (
   FROM w WINDOW r AS (ORDER BY 2.0::DOUBLE * source_size / weight, source ASC NULLS LAST)
 ), t AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size, max(level) OVER () * weight) AS target FROM l
+), c AS (
+  SELECT source, g, words, source_size, target,
+         (target - 2.0::DOUBLE * coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / nullif(CAST(sum(words * g) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS level
+  FROM (SELECT source, greatest(64 - 3 * (CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END), 1) AS g, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL) x
+       JOIN t USING (source) WINDOW o AS (PARTITION BY source ORDER BY g DESC)
+), v AS (
+  SELECT source, max(level) AS level FROM c GROUP BY source
+), e AS (
+  SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target,
+         CASE WHEN t.source_size = 0 THEN 0.0 WHEN t.target >= 2.0::DOUBLE * t.source_size THEN 2.0
+              ELSE least(2.0::DOUBLE, v.level * greatest(64 - 3 * (CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END), 1)) END::DOUBLE AS copies
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN v ON d.source IS NOT DISTINCT FROM v.source
 ), p AS (
-  SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS p FROM t
+  SELECT *, floor(copies) AS whole, copies - floor(copies) AS p, target - sum(floor(copies) * size) OVER (PARTITION BY source) AS rest, (u + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS a FROM e
 ), r AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.p,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM (SELECT * FROM d) d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT *, CASE WHEN p > 0 THEN a / (1.0::DOUBLE - a) / (p / (1.0::DOUBLE - p)) END AS ratio FROM p
+), n AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio NULLS LAST, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r
 )
-SELECT doc_id, size, source_size, target,
-       CAST((whole + CASE WHEN p > 0 AND upto - size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM r
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN ratio IS NOT NULL AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM n
 """
 
 _OP3 = r"""

@@ -28,32 +28,89 @@ def brute_targets(sizes):
         capped |= {s: 2.0 * sizes[s] for s in over}
 
 
-def mixed(docs):
+def mixed(docs, **how):
     sized = write_shared(docs.withColumn("size", word_count(F.col("text"))).select("doc_id", "source", "size"), "t")
-    return mixing.with_copies(sized, mixing.plan(sized)).collect()
+    return mixing.with_copies(sized, mixing.plan(sized, **how), F.col("size")).collect()
+
+
+def expected_copies(size, level):
+    return min(2.0, level * max(1, 64 - 3 * size.bit_length()))
+
+
+def brute_copies(rows, targets, seed=17):
+    """Copies of each of rows(doc_id, source, size): bisected levels, certain copies, then the rank by Pareto ratio until the words are used up."""
+    found = {}
+    by_source = defaultdict(list)
+    for doc, source, size in rows:
+        by_source[source].append((doc, size))
+    for source, own in by_source.items():
+        target, total = targets[source], sum(size for _, size in own)
+        low, high = 0.0, 2.0
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(n * expected_copies(n, level) for _, n in own) < target else (low, level)
+        wanted = {(d, n): 2.0 if target >= 2 * total else expected_copies(n, high) for d, n in own}
+        rest, ranked = target - sum(int(wanted[x] + 1e-12) * x[1] for x in own), []
+        for doc, size in own:
+            whole = int(wanted[doc, size] + 1e-12) if total else 0
+            p = wanted[doc, size] - whole
+            found[doc, source, size] = whole
+            if total and p > 1e-12:
+                u = (int(hashlib.md5(f"pareto|{seed}|{'null' if doc is None else doc}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                ranked.append((u / (1 - u) / (p / (1 - p)), doc, size))
+        upto = 0
+        for _, doc, size in sorted(ranked, key=lambda x: (x[0], x[1] is not None, x[1] or 0)):
+            upto += size
+            found[doc, source, size] += upto - size / 2 <= rest
+    return found
+
+
+def test_mix_against_brute_force(documents):
+    rows = mixed(documents)
+    plain = [(r["doc_id"], r["source"], r["size"]) for r in rows]
+    sizes = Counter()
+    for _, source, size in plain:
+        sizes[source] += size
+    expected = brute_copies(plain, brute_targets(sizes))
+    assert {(r["doc_id"], r["source"], r["size"]): r["mix_copies"] for r in rows} == expected
 
 
 @pytest.mark.parametrize("which", ["documents", "odd_docs"])
 def test_mix(which, request):
     rows = mixed(request.getfixturevalue(which))
-    sizes, taken, biggest, ranked = Counter(), Counter(), Counter(), defaultdict(list)
+    sizes, taken, biggest = Counter(), Counter(), Counter()
     for r in rows:
         sizes[r["source"]] += r["size"]
         taken[r["source"]] += r["mix_copies"] * r["size"]
         biggest[r["source"]] = max(biggest[r["source"]], r["size"])
     targets = brute_targets(sizes)
     for r in rows:
-        t, n = targets[r["source"]], sizes[r["source"]]
-        assert r["mix_source_size"] == n and r["mix_target"] == pytest.approx(t) and 0 <= r["mix_copies"] <= 2
-        u = (int(hashlib.md5(f"pareto|17|{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        ranked[r["source"]].append((u / (1 - u), r["mix_copies"] - int(t / n if n else 0)))
+        assert r["mix_source_size"] == sizes[r["source"]] and r["mix_target"] == pytest.approx(targets[r["source"]]) and 0 <= r["mix_copies"] <= 2
     for s, t in targets.items():
         assert abs(taken[s] - t) <= biggest[s] * (2 if which == "odd_docs" else 0.5) + 1e-6
-        extra = [x for _, x in sorted(ranked[s], key=lambda p: (p[0], -p[1]))]
-        assert extra == sorted(extra, reverse=True)  # the first in rank, no others
     assert sorted(map(repr, rows)) == sorted(map(repr, mixed(request.getfixturevalue(which))))
 
 
+def test_inclusion_rates_and_order(spark):
+    """400 sources with the same sizes are 400 draws: the rates are the expected copies, and rank is by ratio, not by draw."""
+    sizes = [3, 3, 12, 12, 50, 50, 200, 200, 800, 800] * 3
+    rows = [(s * 100 + k, f"s{s:03}", "w " * n) for s in range(400) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found, ranks = defaultdict(list), defaultdict(list)
+    for r in mixed(docs, weights=(1,), share=0.6):
+        found[r["size"]].append(r["mix_copies"])
+        u = int(hashlib.md5(f"pareto|17|{r['doc_id']}".encode()).hexdigest()[:13], 16)
+        ranks[r["source"]].append((u, r["mix_copies"]))
+    low, high = 0.0, 2.0
+    for _ in range(100):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(n * expected_copies(n, level) for n in sizes) < 0.6 * sum(sizes) else (low, level)
+    for n, copies in found.items():
+        assert sum(copies) / len(copies) == pytest.approx(expected_copies(n, level), abs=0.05)
+    taken = [[c for _, c in sorted(own)] for own in ranks.values()]
+    assert any(c != sorted(c, reverse=True) for c in taken)
+
+
 def test_mix_of_nothing(no_docs):
     assert mixed(no_docs) == []
 
