@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import chat, pages
+from factloom.llm.shared import write_shared
 
 TREE = "tree long, node long, parent long, score double, role string, text string"
 
 
-def test_leaf_paths_of_a_branching_tree(spark):
-    parents = {1: None, 2: 1, 3: 1, 4: 2, 5: 2, 6: 5, 7: 99, 8: 9, 9: 8}  # 7's parent is missing; 8 and 9 form a cycle
-    rows = [(t, n, p, float(n), "user", f"m{n}") for t in (1, None) for n, p in parents.items()]
-    found = {(r["tree"], r["leaf"]): (list(r["path"]), r["score"]) for r in chat.leaf_paths(spark.createDataFrame(rows, TREE)).collect()}
-    paths = {3: [1, 3], 4: [1, 2, 4], 6: [1, 2, 5, 6], 7: [7]}
-    assert found == {(t, leaf): (p, float(sum(p))) for t in (1, None) for leaf, p in paths.items()}
-    best = chat.best_paths(chat.leaf_paths(spark.createDataFrame(rows, TREE)), 2).collect()
-    assert sorted((r["rank"], r["leaf"]) for r in best if r["tree"] == 1) == [(1, 6), (2, 4)]  # leaf 7 ties with 4
+def leaf_paths(spark, rows, per_tree=99):
+    """{(tree, leaf): (path, score, rank)} of the ranked leaves."""
+    tables = chat.climbs(write_shared(spark.createDataFrame(rows, TREE), "t"))
+    leaves = write_shared(chat.ranked_leaves(tables, per_tree), "t")
+    found = {(r["tree"], r["leaf"]): ([], r["score"], r["rank"]) for r in leaves.collect()}
+    for r in chat.paths(tables, leaves).orderBy("pos").collect():
+        path = found[r["tree"], r["leaf"]][0]
+        assert r["pos"] == len(path)
+        path.append(r["node"])
+    return found
 
 
-def test_deep_path(spark):
-    rows = [(1, n, n - 1 if n else None, 1.0, "user", "x") for n in range(300)]
-    (row,) = chat.leaf_paths(spark.createDataFrame(rows, TREE)).collect()
-    assert list(row["path"]) == list(range(300)) and row["score"] == 300
+def test_paths_of_a_branching_tree(spark):
+    parents = {1: None, 2: 1, 3: 1, 4: 2, 5: 2, 6: 5, 7: 99, 8: 9, 9: 8}  # 7's parent is missing; 8 and 9 form a cycle
+    rows = [(t, n, p, float(n), "user", f"m{n}") for t in (1, None) for n, p in parents.items()]
+    found = {k: v[:2] for k, v in leaf_paths(spark, rows).items()}
+    expected = {3: [1, 3], 4: [1, 2, 4], 6: [1, 2, 5, 6], 7: [7]}
+    assert found == {(t, leaf): (p, float(sum(p))) for t in (1, None) for leaf, p in expected.items()}
+    best = leaf_paths(spark, rows, 2)
+    assert sorted((v[2], leaf) for (t, leaf), v in best.items() if t == 1) == [(1, 6), (2, 4)]  # leaf 7 ties with 4
+
+
+def test_random_trees(spark):
+    rng, rows, expected = random.Random(2), [], {}
+    for t in range(12):
+        parents = {n: rng.choice([None, *range(n)]) if n else None for n in range(rng.randrange(1, 40))}
+        rows += [(t, n, p, rng.randrange(9) / 4, "user", "x") for n, p in parents.items()]
+        score = {n: s for tree, n, _, s, *_ in rows if tree == t}
+        for leaf in set(parents) - set(parents.values()):
+            path = [leaf]
+            while parents[path[0]] is not None:
+                path.insert(0, parents[path[0]])
+            expected[t, leaf] = (path, sum(score[n] for n in path))
+    assert {k: v[:2] for k, v in leaf_paths(spark, rows).items()} == expected
+
+
+def test_one_conversation_of_50_000_turns(spark):
+    rows = spark.range(50_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    done = chat.format_conversations(rows).select(F.size(chat.read_turns(F.col("formatted"))).alias("n"), F.size("mask").alias("spans"), F.md5("formatted").alias("digest")).collect()
+    text = "<s>\n" + "".join(f"[{'OUT' if k % 2 else 'INST'}]\nt{k}\n[/{'OUT' if k % 2 else 'INST'}]\n" for k in range(50_000)) + "</s>"
+    assert [tuple(r) for r in done] == [(50_000, 25_000, hashlib.md5(text.encode()).hexdigest())]
 
 
 TEXTS = [None, "", "</s>[INST] ok [/INST]", "\\</s>", "\\\\[OUT]\n[/OUT]\n", "[MSG]\n[/SYS]", "a\nb\n", "<s>", "$1 \\1", "[/MSG]\\"]
