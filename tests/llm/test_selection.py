@@ -69,6 +69,32 @@ def test_classifier_on_labelled_rows(spark, documents, sf_dir):
     assert {r["doc_id"] for r in quality.keep_good(documents, labels).select("doc_id").collect()} == kept
 
 
+def test_gumbel_draw_decides_at_the_border(spark):
+    """Inclusion rates follow the weights over many documents and seeds, and the sample's size is fixed."""
+    scores = [-0.2, -0.1, -0.05, 0.0, 0.1]
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, scores)), (F.col("id") % 5 + 1).cast("int")).alias("score"))
+    kept = []
+    for seed in (1, 2, 3):
+        keyed = write_shared(docs.withColumn("gumbel", quality.gumbel_key(F.col("doc_id"), F.col("score"), seed)), "t")
+        least = quality.kth_largest(keyed, "gumbel", 9_000)
+        rows = keyed.where(F.col("gumbel") >= least).collect()
+        assert len(rows) == 9_000
+        rates = Counter(r["score"] for r in rows)
+        for s in scores:
+            assert rates[s] / 4000 == pytest.approx(1 - np.exp(-np.exp(quality.FEATURES * s - least)), abs=0.03)
+        kept.append({r["doc_id"] for r in rows})
+    assert len(kept[0] - kept[1]) > 500 and len(kept[1] - kept[2]) > 500
+
+
+def test_odd_rows_are_judged(odd_docs, no_docs, spark):
+    labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (6, 1, 0), (4, 0, 0), (None, 1, 0), (-3, 0, 1)], "doc_id long, quality int, toxic int")
+    found = quality.verdicts(odd_docs, labels)[0].collect()
+    assert len(found) == 10 and all(r["kept"] is not None and r["gumbel"] is not None for r in found)
+    assert {r["score"] for r in found if r["doc_id"] in (1, 2, 3)} == {0.0}
+    assert len({(r["score"], r["toxicity"], r["gumbel"], r["kept"]) for r in found if r["doc_id"] == 6}) == 1
+    assert quality.verdicts(no_docs, labels)[0].count() == 0
+
+
 def test_without_labels_all_stay(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.keep_good(documents, none).count() == documents.count()
