@@ -1,37 +1,37 @@
 """Main text of web pages with a site style tree.
 
-The pages of a host are merged into one tree: an element is known by its path (tags and class names from the root), and
-for each element the tree counts in which styles (orders of child tags) and with which contents (block texts) it occurs.
-Presentation importance of an element is the entropy of its styles over the log of their number of occurrences, content
-importance of a block's path the same over its texts; 1 where the host shows it once. A branch's importance weighs its
-parent's presentation with (1 - GAMMA) and its content with GAMMA. Branches whose importance is under NOISE go: what a
-host repeats on page after page is not the article.
-
-What the markup itself says comes first and sets importance 0 or 1: elements that are menus, headers, footers, asides,
-notices, adverts, forms or comments by tag, role or class name count 0, and blocks inside an article or main element count
-1 (so a text that several pages of a host share is kept there). If a page has an article, only its blocks are text; else
-main, else elements named as content, else all the body.
-
-Defined cases: null html is an empty page with empty text; a null or odd url belongs to host ""; a page that breaks off
-is closed at its end; repeated pages give repeated rows; hosts with fewer than LEAST blocks at a path decide nothing.
-Columns of the input other than page_id, url and html are not returned.
+The distinct pages of a host are merged into one tree: an element is known by its path (tags and class names from the
+root, chained into one number), and for each element the tree counts in which styles (orders of child tags) and with which
+contents (block texts) it occurs. Presentation importance of an element is the entropy of its styles over the log of their
+number of occurrences, content importance of a block's path the same over its texts; 1 where the host shows it once. A
+branch's importance weighs its parent's presentation with (1 - GAMMA) and its content with GAMMA, and is drawn to 1 by a
+prior: OUTSIDE occurrences' worth, or INSIDE where the markup puts the block into an article or main element. Branches
+under NOISE go: what a host repeats on page after page is not the article, wherever it stands. The prior also keeps hosts
+of few pages from deciding much.
+
+The markup decides what repetition can't show: elements that are menus, headers, footers, asides, notices, adverts, forms or
+comments by tag, role or class name go (their texts may differ from page to page), and if a page has an article, only its
+blocks are text; else main, else elements named as content, else all the body.
+
+Defined cases: null html is an empty page with empty text; the host is what host_of() cuts from the url, and "" where
+there is none; a page that breaks off is closed at its end; repeated pages give repeated rows and count once in the tree;
+a deep nesting or a long page costs in proportion. Columns of the input other than page_id, url and html are not returned.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html import unescape
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.shared import small_side, write_shared
 
-GAMMA, NOISE, LEAST = 0.9, 0.3, 4
+GAMMA, NOISE = 0.9, 0.3
+OUTSIDE, INSIDE = 3.0, 12.0
 
 #: Elements and names that say what a part of a page is.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -53,22 +53,25 @@ ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """The host of a url in lower case, without user and port; "" where there is none."""
+    return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^\[:/?#]*)", 1), F.lit(""))
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]:
-    """Blocks (path, text, place) in page order and elements (path, order of child tags).
+def _key(text: str, parent: int = 0) -> int:
+    """A number for a text, or for an element by its name and its parent's number."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), parent % 2**64) - (1 << 63)
+
+
+def parse(html: str | None) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, str]]]:
+    """Blocks (path, parent's path, text, place) in page order and elements (path, order of child tags).
 
     place: -1 where markup names boilerplate, 3 in an article, 2 in main, 1 in an element named as content, 0 elsewhere.
     """
     html = html or ""
-    blocks: list[tuple[str, str, int]] = []
-    elements: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, int, list[str]]] = [("", "", 0, [])]  # tag, path, place, child tags
+    blocks: list[tuple[int, int, str, int]] = []
+    elements: list[tuple[int, str]] = []
+    stack: list[tuple[str, int, int, list[str]]] = [("", 0, 0, [])]  # tag, path, place, child tags
     pieces: list[str] = []
 
     def flush() -> None:
@@ -76,7 +79,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                blocks.append((stack[-1][1], text, stack[-1][2]))
+                blocks.append((stack[-1][1], stack[-2][1] if len(stack) > 1 else 0, text, stack[-1][2]))
 
     def close(k: int) -> None:
         while len(stack) > k:
@@ -94,8 +97,6 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if tag in INLINE and not (m[3] and "class" in m[3]):
-            continue
         if m[1] or m[4]:
             if tag in INLINE:
                 continue
@@ -136,7 +137,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
             elif names & BODIES:
                 place = max(place, 1)
         stack[-1][3].append(tag)
-        path = f"{stack[-1][1]}/{tag}" + (f".{'.'.join(sorted(found['class'].lower().split()))}" if found.get("class") else "")
+        path = _key(f"{tag}.{'.'.join(sorted(found['class'].lower().split()))}" if found.get("class") else tag, stack[-1][1])
         stack.append((tag, path, place, []))
     if at < len(html):
         pieces.append(unescape(html[at:]))
@@ -145,60 +146,65 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
     return blocks, elements
 
 
-def _key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path.encode()) - (1 << 63)
-
-
 def _nodes(batches):
+    """One row for each distinct showing of a path on a page: host, path, parent, shown (block text, or child tags where parent is null), page, sure."""
     for batch in batches:
-        found: Counter = Counter()
-        for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            host = host_of(url)
+        found: dict[tuple, None] = {}
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            page = _key(html or "")
             blocks, elements = parse(html)
-            for path, text, place in blocks:
+            for path, parent, text, place in blocks:
                 if place >= 0:
-                    found[host, _key(path), _key(path.rpartition("/")[0]), _key(text), place >= 2] += 1
+                    found[host, path, parent, _key(text), page, place >= 2] = None
             for path, kids in elements:
-                found[host, _key(path), None, _key(kids), False] += 1
-        rows = list(found.items())
-        columns = [[k[i] for k, _ in rows] for i in range(5)] + [[n for _, n in rows]]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "path", "parent", "shown", "sure", "n"])
+                found[host, path, None, _key(kids), page, False] = None
+        columns = list(zip(*found, strict=True)) or [()] * 6
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "path", "parent", "shown", "page", "sure"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, parent (null for an element's presentation), n, importance, sure: the merged trees of all hosts."""
-    shown = pages.select("url", "html").mapInArrow(_nodes, "host string, path long, parent long, shown long, sure boolean, n long")
-    each = shown.groupBy("host", "path", "parent", "shown").agg(F.sum("n").alias("n"), F.bool_or("sure").alias("sure"))
+    """host, path, parent (null for an element's presentation), n, importance, sure: the merged trees of all hosts of pages(host, html)."""
+    shown = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, parent long, shown long, page long, sure boolean")
+    once = shown.groupBy("host", "path", "parent", "shown", "page").agg(F.bool_or("sure").alias("sure"))
+    each = once.groupBy("host", "path", "parent", "shown").agg(F.count("*").alias("n"), F.bool_or("sure").alias("sure"))
     sums = each.groupBy("host", "path", "parent").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.bool_or("sure").alias("sure"))
     entropy = F.log("n") - F.col("nlogn") / F.col("n")
     return sums.select("host", "path", "parent", "n", F.when(F.col("n") > 1, entropy / F.log("n")).otherwise(1.0).alias("importance"), "sure")
 
 
-def noise_paths(tree: DataFrame, gamma: float = GAMMA, noise: float = NOISE, least: int = LEAST) -> DataFrame:
-    """host, paths: the block paths of each host whose branches are to be removed. tree should be a written table."""
+def branches(tree: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """host, path, n, sure, importance of the branches that end in blocks, prior included. tree should be a written table."""
     look = tree.where("parent is null").select("host", F.col("path").alias("parent"), F.col("importance").alias("look"))
-    leaves = tree.where("parent is not null and not sure").where(F.col("n") >= least)
+    leaves = tree.where("parent is not null")
+    prior = F.when(F.col("sure"), INSIDE).otherwise(OUTSIDE)
     importance = (1 - gamma) * F.coalesce("look", F.lit(1.0)) + gamma * F.col("importance")
-    return leaves.join(look, ["host", "parent"], "left").where(importance < noise).groupBy("host").agg(F.collect_set("path").alias("paths"))
+    return leaves.join(look, ["host", "parent"], "left").select("host", "path", "n", "sure", ((F.col("n") * importance + prior) / (F.col("n") + prior)).alias("importance"))
+
+
+def noise_paths(tree: DataFrame, gamma: float = GAMMA, noise: float = NOISE) -> DataFrame:
+    """host, paths: the block paths of each host whose branches are to be removed."""
+    return branches(tree, gamma).where(F.col("importance") < noise).groupBy("host").agg(F.collect_set("path").alias("paths"))
 
 
 def _extract(batches):
     for batch in batches:
-        texts = []
-        hosts = batch.column("paths").to_pylist()
-        for html, noise in zip(batch.column("html").to_pylist(), hosts, strict=True):
+        texts, removed = [], []
+        for html, noise in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
             blocks, _ = parse(html)
-            best = max((place for _, _, place in blocks), default=0)
             drop = set(noise or ())
-            texts.append(" ".join(text for path, text, place in blocks if place >= max(best, 0) and (place >= 2 or not drop or _key(path) not in drop)))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            left = [b for b in blocks if b[3] >= 0 and b[0] not in drop]
+            best = max((b[3] for b in left), default=0)
+            texts.append(" ".join(text for _, _, text, place in left if place >= best))
+            removed.append(sum(b[3] >= 0 and b[0] in drop for b in blocks))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_removed"]
+        )
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of pages(page_id, url, html)."""
-    noise = write_shared(noise_paths(write_shared(style_tree(pages), "pages-tree")), "pages-noise")
-    host = F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit(""))
-    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    joined = plain.withColumn("host", host).join(small_side(noise, 20_000), "host", "left").select("page_id", "url", "html", "paths")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    """page_id, url, text, n_chars and n_removed (blocks that only the tree takes away) of pages(page_id, url, html)."""
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_of(F.col("url").cast("string")).alias("host"))
+    noise = write_shared(noise_paths(write_shared(style_tree(plain), "pages-tree")), "pages-noise")
+    joined = plain.join(small_side(noise, 20_000), "host", "left").select("page_id", "url", "html", "paths")
+    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_removed long")

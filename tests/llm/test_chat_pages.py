@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import tracemalloc
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,11 +101,69 @@ def test_what_a_host_repeats_goes(spark):
     assert found[100] == "Welcome to us"  # one page decides nothing
 
 
+def test_unnamed_boilerplate_inside_articles(spark):
+    """The tree removes what a host repeats inside its articles under a name that says nothing; copies of one page count once."""
+    rows = [(k, f"http://host.org/{k}", f"<body><article><p>Story {k} of the day</p><div class=x7><p>Get our mail</p></div><p>More of story {k}</p></article></body>") for k in range(60)]
+    rows += [(100 + k, "http://copies.org/", "<body><article><p>The one story</p></article></body>") for k in range(60)]
+    rows += [(200 + k, f"http://few.org/{k}", f"<body><article><p>Story {k}</p><div class=x7><p>Get our mail</p></div></article></body>") for k in range(5)]
+    done = {r["page_id"]: r for r in pages.main_texts(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(done[k]["text"] == f"Story {k} of the day More of story {k}" and done[k]["n_removed"] == 1 for k in range(60))
+    assert all(done[100 + k]["text"] == "The one story" for k in range(60))
+    assert all(done[200 + k]["text"] == f"Story {k} Get our mail" for k in range(5))  # few pages decide nothing inside an article
+
+
+def test_style_tree_by_brute_force(spark, sf_dir):
+    """Importance of every branch, from the showings of each host's distinct pages counted in Python."""
+    given = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("host", pages.host_of(F.col("url")))
+    shows, sure = defaultdict(Counter), defaultdict(bool)
+    parents = {}
+    for host, html in {(r["host"], r["html"]) for r in given.select("host", "html").collect()}:
+        blocks, elements = pages.parse(html)
+        for path, parent, text, place in {b for b in blocks if b[3] >= 0}:
+            shows[host, path, False][text] += 1
+            sure[host, path] |= place >= 2
+            parents[host, path] = parent
+        for path, kids in set(elements):
+            shows[host, path, True][kids] += 1
+
+    def importance(counts):
+        n = sum(counts.values())
+        return -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 1.0
+
+    expected = {}
+    for (host, path), parent in parents.items():
+        counts, prior = shows[host, path, False], pages.INSIDE if sure[host, path] else pages.OUTSIDE
+        look = importance(shows[host, parent, True]) if (host, parent, True) in shows else 1.0
+        n = sum(counts.values())
+        expected[host, path] = (n * ((1 - pages.GAMMA) * look + pages.GAMMA * importance(counts)) + prior) / (n + prior)
+    found = {(r["host"], r["path"]): r["importance"] for r in pages.branches(write_shared(pages.style_tree(given), "t")).collect()}
+    assert found == pytest.approx(expected)
+
+
+def test_deep_nesting_is_linear():
+    html = "".join(f"<div>{k % 7} " for k in range(100_000))
+    tracemalloc.start()
+    assert len(pages.parse(html)[0]) == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize(("url", "host"), [("http://my_host.com/a", "my_host.com"), ("http://a.b/x y", "a.b"), ("HTTP://u:p@A.b:80/q?x={1}|2", "a.b"), ("http://münchen.de/", "münchen.de"), ("http://[bad", ""), ("//x/y", ""), (None, "")])
+def test_hosts(spark, url, host):
+    assert spark.createDataFrame([(url,)], "u string").select(pages.host_of(F.col("u"))).first()[0] == host
+
+
 @pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>open", "open"), ("<p>a<p>b", "a b"), ("<!-- x", ""), ("a < b", "a < b"), ("<div>" * 3000 + "deep", "deep")])
 def test_odd_pages(spark, html, text):
     assert texts(spark, [(1, None, html)])[1] == text
 
 
+def test_clashing_columns_and_nulls(spark):
+    rows = [(None, None, None, "x", "y"), (1, "http://a.b/", "<p>t</p>", "x", "y")]
+    found = pages.main_texts(spark.createDataFrame(rows, PAGE + ", text string, host string"))
+    assert sorted(map(repr, (tuple(r) for r in found.select("page_id", "text", "n_chars").collect()))) == ["(1, 't', 1)", "(None, '', 0)"]
+
+
 def test_no_pages_and_repeated_pages(spark):
     assert texts(spark, []) == {}
     assert pages.main_texts(spark.createDataFrame([(1, "http://[bad", "<p>x</p>")] * 3, PAGE)).count() == 3
