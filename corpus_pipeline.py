@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies (5-word shingles, Jaccard 0.8 or more; op9's own setting is narrower)."""
+    """One row of each component of near copies (5-word shingles, Jaccard 0.8 or more): SimHash links first, verified, then an exact join of what they leave apart."""
     return nearcopies.keep_first(docs)
 
 

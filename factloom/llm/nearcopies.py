@@ -5,6 +5,11 @@ n - ceil(t n) + 1 shingles. So each distinct set is indexed under these, rarest
 fixed order is exact, a rare one keeps keys small), and every candidate pair is verified on the whole sets. No pair is
 missed and none is taken unverified, up to equality of 64-bit hashes.
 
+SimHash with deletion variants (simhash.py) goes first: sets whose fingerprints are equal or within its two bits are
+candidates, and those that verify are connected, so the join has only to compare what SimHash left apart. Alone it would
+not do: at a similarity of 0.8 fingerprints of 64 bits differ in about ten, and segments of which one of them differs in at
+most one bit would be too short to tell texts apart.
+
 Where many near copies share a key, pairs would grow with the square of the crowd. So each key's members are compared
 with its least member first, and of what is then connected only members of different components are compared in pairs:
 that connects the same components.
@@ -26,7 +31,7 @@ from pyspark.sql import types as T
 
 from factloom.llm.ngrams import mix, row_slices, utf8, word_hashes, words
 from factloom.llm.shared import small_side, write_shared
-from factloom.llm.simhash import components
+from factloom.llm.simhash import close_links, components, one_of_each
 
 SHINGLE = 5
 #: The least similarity of near copies, as a fraction.
@@ -89,8 +94,16 @@ def with_nodes(docs: DataFrame, column: str = "node") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
 
 
+def _print(s: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, signed."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(s), 65536):
+        counts += np.unpackbits(s[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(s), bitorder="little").view("<i8")[0])
+
+
 def with_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, node, n, prefix, shingles of docs(doc_id, text)."""
+    """doc_id, node, n, fp (SimHash), prefix, shingles of docs(doc_id, text)."""
     top, under = SIMILAR
 
     def lists(arrays):
@@ -104,10 +117,10 @@ def with_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 for s in sets:
                     order = np.lexsort((s, counts[(s % np.uint64(BUCKETS)).astype(np.int64)]))
                     first.append(s[order[: len(s) + top * len(s) // -under + 1]] if len(s) else s)
-                columns = [batch.column("doc_id").slice(at, len(sets)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(first), lists(sets)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "prefix", "shingles"])
+                columns = [batch.column("doc_id").slice(at, len(sets)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.int64()), lists(first), lists(sets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "fp", "prefix", "shingles"])
 
-    kinds = [docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(x, T.ArrayType(T.LongType())) for x in ("prefix", "shingles")]]
+    kinds = [docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), *[T.StructField(x, T.ArrayType(T.LongType())) for x in ("prefix", "shingles")]]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(kinds))
 
 
@@ -121,16 +134,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return write_shared(pairs.join(a, "a").join(b, "b").where((top + under) * shared >= top * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "near-links")
 
 
+def simhash_links(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes of sets whose fingerprints are linked and whose sets are similar enough; a written table."""
+    nodes = write_shared(sets.select("node", "fp").dropDuplicates(["node"]), "near-nodes")
+    firsts = write_shared(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    equal = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = [firsts.select(F.col("fp").alias(f"{x}_fp"), F.col("first").alias(f"{x}_first")) for x in "ab"]
+    near = close_links(firsts.select("fp")).withColumnRenamed("a", "a_fp").withColumnRenamed("b", "b_fp")
+    unlike = near.join(a, "a_fp").join(b, "b_fp").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    return verified(write_shared(equal.union(unlike).distinct(), "near-pairs"), sets)
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the near copies among the nodes of sets, a written table."""
     top, under = SIMILAR
+    close = simhash_links(sets)
+    known = write_shared(components(close), "near-tree").withColumnRenamed("node", "member").withColumnRenamed("root", "known")
     keys = sets.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("key"))
+    keys = keys.join(small_side(known), F.col("node") == F.col("member"), "left").select("key", "node", "n", F.coalesce("known", "node").alias("known"))
     keys = write_shared(keys, "near-keys")
-    met = keys.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("least")).where("members > 1")
+    met = keys.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.min(F.struct("node", "n", "known")).alias("least")).where("low < high")
     held = write_shared(keys.join(met.select("key", "least"), "key"), "near-met")
     alike = lambda p, q: under * F.least(p, q) >= top * F.greatest(p, q)
-    first = held.where((F.col("node") != F.col("least.node")) & alike(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
-    stars = verified(write_shared(first, "near-pairs"), sets)
+    first = held.where((F.col("known") != F.col("least.known")) & alike(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = close.union(verified(write_shared(first, "near-pairs"), sets))
     tree = write_shared(components(stars), "near-tree").withColumnRenamed("node", "member")
     rooted = held.select("key", "node", "n").join(small_side(tree), F.col("node") == F.col("member"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = write_shared(rooted, "near-rooted")
@@ -145,18 +172,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies; shingles are made again on the way, so kept texts are not shuffled."""
     sets = write_shared(with_sets(docs, shingle_counts(docs)), "near-sets")
     tree = write_shared(components(links(sets)), "near-components").withColumnRenamed("node", "member")
-    rows = sets.select("doc_id", "node").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
-    rows = write_shared(rows.join(small_side(tree), F.col("node") == F.col("member"), "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root")), "near-rows")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    first = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "node"), rank).alias("first"), F.sum("n").alias("all")).where("all > 1").select(F.col("root").alias("of"), "first")
-    judged = rows.join(first, F.col("root") == F.col("of")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node")))
-    judged = write_shared(judged.where("not stays or n > 1").select(F.col("doc_id").alias("l_id"), F.col("node").alias("l_node"), "stays"), "near-lost")
-    plain = ("doc_id", "text")
-    renamed = docs.toDF(*[c if c in plain else f"c{i}_{c}" for i, c in enumerate(docs.columns)])
-    marked = with_nodes(renamed)
-    same = marked["doc_id"].eqNullSafe(F.col("l_id")) & (marked["node"] == F.col("l_node"))
-    kept = marked.join(small_side(judged), same, "left_anti").drop("node")
-    again = judged.where("stays")
-    if again.limit(1).count():
-        kept = kept.unionByName(marked.join(small_side(again), same, "left_semi").dropDuplicates(["doc_id", "node"]).drop("node"))
-    return kept.toDF(*docs.columns)
+    rows = sets.select("doc_id", "node").join(small_side(tree), F.col("node") == F.col("member"), "left").select("doc_id", F.col("node").alias("own_node"), F.coalesce("root", "node").alias("root"))
+    renamed = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}_{c}" for i, c in enumerate(docs.columns)])
+    return one_of_each(with_nodes(renamed, "own_node"), rows, ["own_node"]).drop("own_node").toDF(*docs.columns)

@@ -13,7 +13,8 @@ the least there connects the same components without pairs. Components come from
 steps over written tables.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero; equal fingerprints are one class;
-null doc_ids never name a component unless a whole component has none; an empty table stays empty.
+null doc_ids never name a component unless a whole component has none; repeated rows repeat in the result; a very long text
+is hashed shingle by shingle; an empty table stays empty; other columns pass through or are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.shared import write_shared
+from factloom.llm.shared import small_side, write_shared
 
 SHINGLE, HASH_SEED, BITS = 3, 42, 64
 CROWD = 400
@@ -119,12 +120,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """fp, component_id for every fingerprint of prints(doc_id, fp): the least doc_id of its component."""
+    """fp, root, component_id for every fingerprint of prints(doc_id, fp): a number and the least doc_id of its component."""
     fps = write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-prints")
     tree = write_shared(components(close_links(fps.select("fp"), crowd)), "simhash-components")
     rooted = fps.join(tree, fps["fp"] == tree["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -133,12 +134,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(write_shared(classes(prints), "simhash-classes"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(marked: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """marked (with doc_id and key) with one row of each component, told by rows(doc_id, *key, root; one for each row of marked).
+
+    That of the least doc_id stays (null last), then of the least key; of rows alike in both, one. Other rows of a doc_id
+    that stays in another component are not touched. Only what is lost is joined, so texts that stay are not shuffled
+    while that is small.
+    """
+    whole = ["doc_id", *key]
+    counted = write_shared(rows.groupBy(*whole, "root").agg(F.count("*").alias("n")), "one-rows")
+    rank = F.struct(F.col("doc_id").isNull(), *whole)
+    first = counted.groupBy("root").agg(F.min(rank).alias("first"), F.sum("n").alias("all")).where("all > 1").select(F.col("root").alias("of"), "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    for c in key:
+        stays = stays & (F.col(c) == F.col(f"first.{c}"))
+    judged = counted.join(first, F.col("root") == F.col("of")).withColumn("stays", stays).where("not stays or n > 1")
+    judged = write_shared(judged.select(*[F.col(c).alias(f"lost_{c}") for c in whole], "stays"), "one-lost")
+    same = marked["doc_id"].eqNullSafe(F.col("lost_doc_id"))
+    for c in key:
+        same = same & (marked[c] == F.col(f"lost_{c}"))
+    kept, again = marked.join(small_side(judged), same, "left_anti"), judged.where("stays")
+    if again.limit(1).count():
+        kept = kept.unionByName(marked.join(small_side(again), same, "left_semi").dropDuplicates(whole))
+    return kept
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows of a component but those with its least doc_id (of rows that repeat a doc_id, one stays)."""
-    lost = write_shared(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "simhash-lost")
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    repeated = write_shared(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "simhash-repeated")
-    if repeated.limit(1).count() == 0:
-        return kept
-    once = docs.join(repeated, "doc_id", "left_semi").join(lost, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """One row of each component of docs, with its own columns; rows are told apart by doc_id, fingerprint and a hash of the text."""
+    marked = lambda d: with_fingerprints(d, "own_fp").withColumn("own_hash", F.xxhash64("text"))
+    prints = write_shared(marked(docs.select("doc_id", "text")).select("doc_id", F.col("own_fp").alias("fp"), "own_hash"), "simhash-docs")
+    rows = prints.join(write_shared(classes(prints), "simhash-classes"), "fp").select("doc_id", F.col("fp").alias("own_fp"), "own_hash", "root")
+    renamed = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}_{c}" for i, c in enumerate(docs.columns)])
+    return one_of_each(marked(renamed), rows, ["own_fp", "own_hash"]).drop("own_fp", "own_hash").toDF(*docs.columns)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_mixing_sharding import brute_targets
-from test_selection import WORD, brute_components, brute_print
+from test_mixing_sharding import brute_copies, brute_targets
+from test_nearcopies import brute_first
+from test_selection import WORD
 from tokenizers import Tokenizer
 
 from factloom.llm import quality, rules
@@ -20,24 +21,17 @@ def test_pipeline(spark, sf_dir, documents):
     good = quality.verdicts(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))[0].where("kept").select("doc_id")
     first = documents.join(good, "doc_id")
     regular = first.join(rules.verdicts(first).where("kept").select("doc_id"), "doc_id").collect()
-    components = brute_components({r["doc_id"]: brute_print(r["text"]) for r in regular})
-    left = [r for r in regular if components[r["doc_id"]] == r["doc_id"]]
+    stay = brute_first({r["doc_id"]: r["text"] for r in regular})
+    left = [r for r in regular if r["doc_id"] in stay]
 
     size = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in left}
-    sizes, by_source = Counter(), defaultdict(list)
+    sizes, text = Counter(), {r["doc_id"]: r["text"] or "" for r in left}
     for r in left:
-        u = (int(hashlib.md5(f"pareto|17|{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         sizes[r["source"]] += size[r["doc_id"]]
-        by_source[r["source"]].append((u / (1 - u), r["doc_id"], r["text"] or ""))
     tokenizer, expected = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
-    for source, target in brute_targets(sizes).items():
-        whole = int(target / sizes[source])
-        rest, upto = target - whole * sizes[source], 0
-        for _, doc, text in sorted(by_source[source]):
-            upto += size[doc]
-            copies = whole + (rest > 1e-6 and upto - size[doc] / 2 <= rest)
-            ids = tokenizer.encode(text, add_special_tokens=False).ids
-            expected[doc, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] += copies
+    for (doc, _, _), copies in brute_copies([(r["doc_id"], r["source"], size[r["doc_id"]]) for r in left], brute_targets(sizes)).items():
+        ids = tokenizer.encode(text[doc], add_special_tokens=False).ids
+        expected[doc, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] += copies
     found = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert found == +expected
 
