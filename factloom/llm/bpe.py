@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from factloom.llm.shared import SPACE
 
-PIECES_KEPT, WORDS_KEPT, LONGEST_KEPT = 250_000, 200_000, 100
+PIECES_KEPT, WORDS_KEPT, LONGEST_KEPT = 120_000, 100_000, 100
 _CHUNK = re.compile(f"[^{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 

@@ -87,7 +87,8 @@ def source_levels(sized: DataFrame, targets: DataFrame, cap: float = CAP) -> Dat
 
 def _ranked(docs: DataFrame, planned: DataFrame, seed: int, cap: float, slices: int, size: Column) -> DataFrame:
     """docs joined with their source's plan, with mix_whole, mix_p, mix_ratio and the slice of the rank (null where p is 0)."""
-    joined = docs.join(small_side(planned), docs["source"].eqNullSafe(F.col("mix_source"))).withColumn("mix_c", _expected(size, cap)).withColumn("mix_whole", F.floor("mix_c").cast("long"))
+    sized = docs.withColumn("mix_size", size)  # a column of its own, so that counting words isn't repeated for each use
+    joined = sized.join(small_side(planned), docs["source"].eqNullSafe(F.col("mix_source"))).withColumn("mix_c", _expected(F.col("mix_size"), cap)).withColumn("mix_whole", F.floor("mix_c").cast("long"))
     p = F.col("mix_c") - F.col("mix_whole")
     ratio = F.when(p > 0, pareto_ratio(_draw(docs["doc_id"], seed), p))
     return joined.withColumn("mix_ratio", ratio).withColumn("mix_at", F.floor(F.col("mix_ratio") / (1.0 + F.col("mix_ratio")) * slices))

@@ -1,14 +1,13 @@
-"""Near copies by an exact set-similarity join: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
-
-Under one fixed order of all shingles, two sets of similarity t can only reach it if they share one of their first
-n - ceil(t n) + 1 shingles. So each distinct set is indexed under these, rarest first (by counts of hashed shingles; any
-fixed order is exact, a rare one keeps keys small), and every candidate pair is verified on the whole sets. No pair is
-missed and none is taken unverified, up to equality of 64-bit hashes.
+"""Near copies by a set-similarity join: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
 SimHash with deletion variants (simhash.py) goes first: sets whose fingerprints are equal or within its two bits are
-candidates, and those that verify are connected, so the join has only to compare what SimHash left apart. Alone it would
-not do: at a similarity of 0.8 fingerprints of 64 bits differ in about ten, and segments of which one of them differs in at
-most one bit would be too short to tell texts apart.
+candidates. Alone it would not do: at a similarity of 0.8 fingerprints of 64 bits differ in about ten, and segments of
+which one of them differs in at most one bit would be too short to tell texts apart. So what it leaves apart is indexed
+under more keys. Sets of up to SMALL shingles: under one fixed order of all shingles, two sets of similarity t can only
+reach it if they share one of their first n - ceil(t n) + 1, so each set has these as keys and no pair is missed. Larger
+sets (and those within reach of one): BANDS times ROWS minimum hashes, each band one key; two sets of similarity 0.8 share
+none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. Every candidate of either kind is verified on the
+whole sets, so none is taken unverified, up to equality of 32-bit hashes within two texts.
 
 Where many near copies share a key, pairs would grow with the square of the crowd. So each key's members are compared
 with its least member first, and of what is then connected only members of different components are compared in pairs:
@@ -36,7 +35,10 @@ from factloom.llm.simhash import close_links, components, one_of_each
 SHINGLE = 5
 #: The least similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
-BUCKETS = 1 << 17
+#: Sets of up to SMALL shingles have prefix keys; those of LARGE or more have bands. Similar sets share one kind, as SMALL is 5/4 of LARGE.
+SMALL, LARGE = 120, 96
+BANDS, ROWS = 24, 4
+_TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(column: pa.Array):
@@ -59,23 +61,19 @@ def shingle_sets(column: pa.Array):
         yield at, found
 
 
-def _counts(batches):
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for _, sets in shingle_sets(batch.column("text")):
-            for s in sets:
-                np.add.at(total, (s % np.uint64(BUCKETS)).astype(np.int64), 1)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
-
-
-def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How many texts hold a shingle of each bucket."""
-    rows = docs.select("text").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        counts[r["bucket"]] = r["n"]
-    return counts
+def keys_of(s: np.ndarray) -> np.ndarray:
+    """The keys that a set of shingle hashes is indexed under."""
+    top, under = SIMILAR
+    found = [s[: len(s) + top * len(s) // -under + 1] if 0 < len(s) <= SMALL else s[:0]]  # ascending hashes are the fixed order
+    if len(s) >= LARGE:
+        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+        for at in range(0, len(s), 2048):
+            least = np.minimum(least, (s[at : at + 2048, None] * _TURNS).min(axis=0))
+        band = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for row in least.reshape(BANDS, ROWS).T:
+            band = mix(band * np.uint64(3) + row)
+        found.append(band)
+    return np.concatenate(found)
 
 
 def _node(s: np.ndarray) -> int:
@@ -102,25 +100,20 @@ def _print(s: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(s), bitorder="little").view("<i8")[0])
 
 
-def with_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, node, n, fp (SimHash), prefix, shingles of docs(doc_id, text)."""
-    top, under = SIMILAR
-
-    def lists(arrays):
-        values = np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64)
+def with_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, node, n, fp (SimHash), keys, shingles (low 32 bits) of docs(doc_id, text)."""
+    def lists(arrays, kind):
+        values = np.concatenate([*arrays, np.empty(0, np.uint64)])
+        values = values.view(np.int64) if kind == np.int64 else values.astype(np.uint32).view(np.int32)
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values))
 
     def run(batches):
         for batch in batches:
             for at, sets in shingle_sets(batch.column("text")):
-                first = []
-                for s in sets:
-                    order = np.lexsort((s, counts[(s % np.uint64(BUCKETS)).astype(np.int64)]))
-                    first.append(s[order[: len(s) + top * len(s) // -under + 1]] if len(s) else s)
-                columns = [batch.column("doc_id").slice(at, len(sets)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.int64()), lists(first), lists(sets)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "fp", "prefix", "shingles"])
-
-    kinds = [docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), *[T.StructField(x, T.ArrayType(T.LongType())) for x in ("prefix", "shingles")]]
+                columns = [batch.column("doc_id").slice(at, len(sets)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.int64()), lists([keys_of(s) for s in sets], np.int64), lists(sets, np.int32)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "fp", "keys", "shingles"])
+
+    kinds = [docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType()))]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(kinds))
 
 
@@ -150,7 +143,7 @@ def links(sets: DataFrame) -> DataFrame:
     top, under = SIMILAR
     close = simhash_links(sets)
     known = write_shared(components(close), "near-tree").withColumnRenamed("node", "member").withColumnRenamed("root", "known")
-    keys = sets.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("key"))
+    keys = sets.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
     keys = keys.join(small_side(known), F.col("node") == F.col("member"), "left").select("key", "node", "n", F.coalesce("known", "node").alias("known"))
     keys = write_shared(keys, "near-keys")
     met = keys.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.min(F.struct("node", "n", "known")).alias("least")).where("low < high")
@@ -170,7 +163,7 @@ def links(sets: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies; shingles are made again on the way, so kept texts are not shuffled."""
-    sets = write_shared(with_sets(docs, shingle_counts(docs)), "near-sets")
+    sets = write_shared(with_sets(docs), "near-sets")
     tree = write_shared(components(links(sets)), "near-components").withColumnRenamed("node", "member")
     rows = sets.select("doc_id", "node").join(small_side(tree), F.col("node") == F.col("member"), "left").select("doc_id", F.col("node").alias("own_node"), F.coalesce("root", "node").alias("root"))
     renamed = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}_{c}" for i, c in enumerate(docs.columns)])
