@@ -27,6 +27,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from bisect import bisect_right
 
 import pyarrow as pa
@@ -102,7 +103,7 @@ class Automaton:
             if id(links) not in known:
                 known[id(links)] = found.setdefault(self._bounds(links), len(found))
             self.state[token] = known[id(links)]
-        self.lacks = list(found)
+        self.lacks = [array("I", bounds) for bounds in found]
 
     @staticmethod
     def _lacking(links: tuple, place: int) -> bool:
