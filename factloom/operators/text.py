@@ -17,6 +17,31 @@ RULES = {
 }
 
 
+#: Beginnings and parts of metadata lines, and dates, which keep a line.
+METADATA_PREFIXES = [
+    "country:", "jurisdiction:", "document type:", "publication date:", "effective date:", "issuing authority:", "authority:", "source class:", "language:", "version:",
+    "page ", "page:", "chapter ", "section ", "table ", "figure ", "appendix", "copyright", "isbn", "doi",
+]
+METADATA_PARTS = [
+    "synthetic test document", "document ingestion", "metadata", "citation validation", "development test document",
+    "not an official government policy", "fictional, internally generated", "internal synthetic test material",
+]
+DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2} +[A-Za-z]+ +[0-9]{4}\b"
+
+
+def is_metadata(line: Column) -> Column:
+    """Whether a line (lower case, single spaces, trimmed) is metadata; the date rule comes before prefixes and parts."""
+    named = line.rlike("^(" + "|".join(METADATA_PREFIXES) + ")") | line.rlike("|".join(METADATA_PARTS))
+    return (line == "") | line.rlike("^page [0-9]+") | (~line.rlike(DATE) & named)
+
+
+def limited(text: Column, most: int = 60_000) -> Column:
+    """A text without outer white space; beyond `most` characters the first 75 % and the last 25 % of them, with a mark between."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    cut = F.concat(F.substring(clean, 1, most * 3 // 4), F.lit("\n\n[DOCUMENT MIDDLE OMITTED]\n\n"), F.right(clean, F.lit(most // 4)))
+    return F.when(F.length(clean) <= most, clean).otherwise(cut)
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pos, sentence: text cut after a full stop, question or exclamation mark and white space."""
     marked = F.regexp_replace("text", r"([.!?])[ \t\r\n]+", "$1\u0001")

@@ -1 +1,3 @@
 
+
+from factloom.plans import catalog, reasoning  # noqa: E402, F401

@@ -88,11 +88,12 @@ def flt6(s, d):
     return view(s, d, "edges").where("predicate = 'IS_A' AND confidence >= 0.5").select("subject", "object", F.round("confidence", 6).alias("confidence"))
 
 
-@query("flt8_metadata_lines", r"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(lower(trim(line)), '^(country:|language:|version:|page |chapter |section |table |figure |copyright)')) AS n_metadata FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
+@query("flt8_metadata_lines", rf"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE v = '' OR regexp_matches(v, '^page [0-9]+') OR (NOT regexp_matches(v, '{text.DATE}') AND (regexp_matches(v, '^({"|".join(text.METADATA_PREFIXES)})') OR regexp_matches(v, '{"|".join(text.METADATA_PARTS)}')))) AS n_metadata
+FROM (SELECT doc_id, lower(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'))) AS v FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY doc_id""")
 def flt8(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    hit = F.lower(F.trim("line")).rlike("^(country:|language:|version:|page |chapter |section |table |figure |copyright)")
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(hit).alias("n_metadata"))
+    """Metadata lines of each document: empty, page, then any date keeps a line, then prefixes and parts. No exchange of lines."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"[ \t\r]+", " "))))
+    return table(s, d, "documents").where("text is not null").select("doc_id", lines.alias("v")).groupBy("doc_id").agg(F.sum(F.size("v")).alias("n_lines"), F.sum(F.size(F.filter("v", text.is_metadata))).alias("n_metadata"))
 
 
 @query("prj2_context", "SELECT issuer, doc_id, 'CA-' || lpad(CAST(rn AS VARCHAR), 3, '0') AS block, chars_upto FROM (SELECT issuer, doc_id, row_number() OVER (PARTITION BY issuer ORDER BY doc_id) AS rn, CAST(sum(length(text)) OVER (PARTITION BY issuer ORDER BY doc_id) AS BIGINT) AS chars_upto FROM library) WHERE chars_upto <= 30000")
@@ -202,9 +203,14 @@ def agg18(s, d):
     return last.groupBy(F.col("e.event_type").alias("stage")).agg(F.count("*").alias("n"), F.count_if(F.col("e.value") >= 100).alias("active"))
 
 
-@query("agg20_billing", "SELECT c_mktsegment AS plan, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 0) AS linked, CAST(count(*) * 49 AS BIGINT) AS revenue FROM customer GROUP BY c_mktsegment")
+_PLAN = "CASE c_mktsegment WHEN 'BUILDING' THEN 'pro' WHEN 'MACHINERY' THEN 'enterprise' ELSE 'free' END"
+
+
+@query("agg20_billing", f"SELECT {_PLAN} AS plan, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 0) AS linked, CAST(count(*) FILTER (WHERE c_mktsegment = 'BUILDING') * 49 AS BIGINT) AS revenue FROM customer GROUP BY 1")
 def agg20(s, d):
-    return table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("plan")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("linked"), (F.count("*") * 49).alias("revenue"))
+    """Customers by plan (unknown ones are free); only pro pays."""
+    plan = F.when(F.col("c_mktsegment") == "BUILDING", "pro").when(F.col("c_mktsegment") == "MACHINERY", "enterprise").otherwise("free")
+    return table(s, d, "customer").groupBy(plan.alias("plan")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("linked"), (F.count_if(F.col("c_mktsegment") == "BUILDING") * 49).alias("revenue"))
 
 
 @query("agg21_profile", "SELECT event_type AS stage, count(*) AS n, round(sum(value), 2) AS total, round(max(value), 6) AS longest FROM events GROUP BY event_type")
@@ -301,9 +307,13 @@ def txt20(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(clean, 256).alias("checksum"), F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 50).alias("batch"))
 
 
-@query("txt21_limit_text", "SELECT doc_id, CASE WHEN length(text) <= 6000 THEN length(text) ELSE length(substr(text, 1, 4500) || right(text, 1500)) END AS chars, sha256(CASE WHEN length(text) <= 6000 THEN text ELSE substr(text, 1, 4500) || right(text, 1500) END) AS digest FROM documents")
+_LIMITED = "CASE WHEN length(t) <= 60000 THEN t ELSE substr(t, 1, 45000) || chr(10) || chr(10) || '[DOCUMENT MIDDLE OMITTED]' || chr(10) || chr(10) || right(t, 15000) END"
+
+
+@query("txt21_limit_text", f"SELECT doc_id, length({_LIMITED}) AS chars, sha256({_LIMITED}) AS digest FROM (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents)")
 def txt21(s, d):
-    cut = F.when(F.length("text") <= 6000, F.col("text")).otherwise(F.concat(F.substring("text", 1, 4500), F.right(F.col("text"), F.lit(1500))))
+    """Texts over 60,000 characters keep 45,000 at the start and 15,000 at the end, with a mark between; null is empty."""
+    cut = text.limited(F.col("text"))
     return table(s, d, "documents").select("doc_id", F.length(cut).alias("chars"), F.sha2(cut, 256).alias("digest"))
 
 
