@@ -29,6 +29,7 @@ import re
 import unicodedata
 from array import array
 from bisect import bisect_right
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 
 from factloom.llm.shared import SPACE
 
-PIECES_KEPT, WORDS_KEPT, LONGEST_KEPT = 120_000, 100_000, 100
+PIECES_KEPT, WORDS_KEPT, LONGEST_KEPT = 160_000, 160_000, 100
 _CHUNK = re.compile(f"[^{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -140,13 +141,13 @@ class Automaton:
         for stop in range(1, len(word) + 1):
             end = self.end if stop == len(word) else ""
             for start in range(stop - 1, -1, -1):  # at most one of the tokens that end here has its arc
-                token = word[start:stop] + end
-                place = tails.get(token)
-                if place is None:
+                token = word[start:stop] + end if end else word[start:stop]
+                if token not in tails:
                     break
+                place = tails[token]
                 if place >= 0:
                     before = at[start]
-                    if start == 0 or (before is not None and bisect_right(lacks[before], place) % 2 == 0):
+                    if not start or (before is not None and not bisect_right(lacks[before], place) & 1):
                         at[stop], last[stop] = state[token], token
                         break
         if word and not last[-1]:
@@ -159,10 +160,11 @@ class Automaton:
 
 
 def _keep(table: dict, key: str, value: object, most: int) -> None:
-    """Enter a key that is not too long into a table of at most `most` entries, which starts anew when full."""
+    """Enter a key that is not too long into a table of at most `most` entries; a full one loses its older half."""
     if len(key) <= LONGEST_KEPT:
         if len(table) >= most:
-            table.clear()
+            for old in list(islice(table, most // 2)):
+                del table[old]
         table[key] = value
 
 
@@ -182,7 +184,7 @@ class WordCodec:
         self.labels = {**self.automaton.label, **{i: t for t, i in self.special.items()}}
         self.path, self.library = path, None
         self.kept: dict[str, tuple[int, str, str]] = {}
-        self.coded: dict[str, list[str]] = {}
+        self.coded: dict[str, tuple[int, ...]] = {}
 
     def words(self, piece: str) -> list[str]:
         """The letters of each word of a piece.
@@ -191,7 +193,15 @@ class WordCodec:
         a piece with one is normalised and split by the library, so its words are the library's.
         """
         if piece.isascii():
+            if piece.isalpha():
+                return [piece.lower()]
+            if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+                return [piece[:-1].lower(), piece[-1]]
             return [w.translate(self.letters) for w in self.pattern.findall(piece.lower())]
+        if max(piece) < "\u0100":  # Latin letters, which normalising leaves as they are
+            word, mark = (piece[:-1], piece[-1:]) if piece[-1] in ".,;:!?" else (piece, "")
+            if word.isalpha():
+                return [word.lower().encode().decode("latin-1").translate(self.letters), *mark]
         if any(unicodedata.category(c) == "Cn" for c in piece):
             if self.library is None:
                 from tokenizers import Tokenizer
@@ -205,14 +215,13 @@ class WordCodec:
         """Number of ids, ids and decoded ids of a piece of text without white space, kept for next time."""
         found = self.kept.get(piece)
         if found is None:
-            tokens: list[str] = []
+            ids: list[int] = []
             for word in self.words(piece):
-                arcs = self.coded.get(word)
-                if arcs is None:
-                    arcs = self.automaton.encode(word)
-                    _keep(self.coded, word, arcs, WORDS_KEPT)
-                tokens += arcs
-            ids = [self.ids[t] for t in tokens]
+                own = self.coded.get(word)
+                if own is None:
+                    own = tuple(map(self.ids.__getitem__, self.automaton.encode(word)))
+                    _keep(self.coded, word, own, WORDS_KEPT)
+                ids += own
             found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             _keep(self.kept, piece, found, PIECES_KEPT)
         return found
@@ -236,7 +245,7 @@ class WordCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by a space (the file names no decoder)."""
-        return " ".join(self.labels[i] for i in ids)
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 _codecs: dict[str, WordCodec] = {}
