@@ -4,7 +4,9 @@ SimHash with deletion variants (simhash.py) goes first: sets whose fingerprints
 candidates. Alone it would not do: at a similarity of 0.8 fingerprints of 64 bits differ in about ten, and segments of
 which one of them differs in at most one bit would be too short to tell texts apart. So what it leaves apart is indexed
 under more keys. Sets of up to SMALL shingles: under one fixed order of all shingles, two sets of similarity t can only
-reach it if they share one of their first n - ceil(t n) + 1, so each set has these as keys and no pair is missed. Larger
+reach it if they share one of their first n - ceil(t n) + 1, so each set has these as keys and no pair is missed. The
+order puts what is frequent over all texts last, so that a passage that a third of all texts hold is hardly ever a key. It
+rests on counts by bucket of a hash; any such order is exact, collisions only make it less selective. Larger
 sets (and those within reach of one): BANDS times ROWS minimum hashes, each band one key; two sets of similarity 0.8 share
 none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. Every candidate of either kind is verified on the
 whole sets, so none is taken unverified, up to equality of 32-bit hashes within two texts.
@@ -38,9 +40,19 @@ SIMILAR = (4, 5)
 #: Sets of up to SMALL shingles have prefix keys; those of LARGE or more have bands. Similar sets share one kind, as SMALL is 5/4 of LARGE.
 SMALL, LARGE = 120, 96
 BANDS, ROWS = 24, 4
+#: Buckets of shingles counted for the order, and how many times the mean makes one frequent: at most BUCKETS / FREQUENT are.
+BUCKETS, FREQUENT = 1 << 18, 4
 _TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def _joined(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k neighbouring word hashes."""
+    found = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        found = mix(found * np.uint64(3) + h[j : len(h) - k + 1 + j] + np.uint64(1))
+    return found
+
+
 def shingle_sets(column: pa.Array):
     """For one slice of rows after another: the sorted set of shingle hashes of each row."""
     for at, length in row_slices(column):
@@ -54,17 +66,51 @@ def shingle_sets(column: pa.Array):
             if not k:
                 found.append(np.empty(0, np.uint64))
                 continue
-            joined = np.full(b - a - k + 1, k, np.uint64)
-            for j in range(k):
-                joined = mix(joined * np.uint64(3) + h[a + j : b - k + 1 + j] + np.uint64(1))
-            found.append(np.unique(joined))
+            found.append(np.unique(_joined(h[a:b], k)))
         yield at, found
 
 
-def keys_of(s: np.ndarray) -> np.ndarray:
-    """The keys that a set of shingle hashes is indexed under."""
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def frequency_ranks(docs: DataFrame) -> np.ndarray:
+    """A rank from 0 (not frequent) to 255 for each bucket of shingles, from counts over all texts of docs(text).
+
+    Only buckets of FREQUENT times the mean or more come to the driver, which are at most BUCKETS / FREQUENT rows.
+    """
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            column = batch.column("text")
+            for at, length in row_slices(column):
+                data, offsets = utf8(pc.ascii_lower(column.slice(at, length)))
+                starts, ends, doc = words(data, offsets)
+                h = word_hashes(data, starts, ends)
+                if len(h) < SHINGLE:
+                    continue
+                joined = _joined(h, SHINGLE)[doc[SHINGLE - 1 :] == doc[: len(doc) - SHINGLE + 1]]
+                total += np.bincount(_bucket(joined), minlength=BUCKETS)
+        seen = np.flatnonzero(total)
+        for at in range(0, len(seen), 65536):
+            part = seen[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
+
+    counted = write_shared(docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "near-counts")
+    ranks, mean = np.zeros(BUCKETS, np.uint8), (counted.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    if mean:
+        often = counted.where(F.col("n") >= FREQUENT * mean).select("bucket", F.least(F.lit(255), F.floor(F.log2(F.col("n") / mean) * 8)).cast("int").alias("rank")).collect()
+        ranks[[r["bucket"] for r in often]] = [r["rank"] for r in often]
+    return ranks
+
+
+def keys_of(s: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
+    """The keys that an ascending set of shingle hashes is indexed under."""
     top, under = SIMILAR
-    found = [s[: len(s) + top * len(s) // -under + 1] if 0 < len(s) <= SMALL else s[:0]]  # ascending hashes are the fixed order
+    ordered = s[:0]
+    if 0 < len(s) <= SMALL:  # the fixed order: rank, then hash
+        ordered = s if ranks is None else s[np.argsort(ranks[_bucket(s)], kind="stable")]
+    found = [ordered[: len(s) + top * len(s) // -under + 1]]
     if len(s) >= LARGE:
         least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
         for at in range(0, len(s), 2048):
@@ -102,6 +148,8 @@ def _print(s: np.ndarray) -> int:
 
 def with_sets(docs: DataFrame) -> DataFrame:
     """doc_id, node, n, fp (SimHash), keys, shingles (low 32 bits) of docs(doc_id, text)."""
+    ranks = frequency_ranks(docs)
+
     def lists(arrays, kind):
         values = np.concatenate([*arrays, np.empty(0, np.uint64)])
         values = values.view(np.int64) if kind == np.int64 else values.astype(np.uint32).view(np.int32)
@@ -110,7 +158,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for at, sets in shingle_sets(batch.column("text")):
-                columns = [batch.column("doc_id").slice(at, len(sets)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.int64()), lists([keys_of(s) for s in sets], np.int64), lists(sets, np.int32)]
+                columns = [batch.column("doc_id").slice(at, len(sets)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.int64()), lists([keys_of(s, ranks) for s in sets], np.int64), lists(sets, np.int32)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "fp", "keys", "shingles"])
 
     kinds = [docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType()))]
