@@ -12,8 +12,9 @@ none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. Every can
 whole sets, so none is taken unverified, up to equality of 32-bit hashes within two texts.
 
 Where many near copies share a key, pairs would grow with the square of the crowd. So each key's members are compared
-with its least member first, and of what is then connected only members of different components are compared in pairs:
-that connects the same components.
+with one of them first, its least, or in keys of more than CROWD members the one that meets most others over all such keys
+(the text that the others were copied from, if it is there). Of what is then connected only members of different
+components are compared in pairs: that connects the same components, whichever member came first.
 
 Defined cases: letters are compared without ASCII case; a text of fewer words than a shingle is one shingle; null, empty
 and blank texts are one class; rows are told apart by shingle set and doc_id, so of a component one row stays, that of the
@@ -40,6 +41,7 @@ SIMILAR = (4, 5)
 #: Sets of up to SMALL shingles have prefix keys; those of LARGE or more have bands. Similar sets share one kind, as SMALL is 5/4 of LARGE.
 SMALL, LARGE = 120, 96
 BANDS, ROWS = 24, 4
+CROWD = 50
 #: Buckets of shingles counted for the order, and how many times the mean makes one frequent: at most BUCKETS / FREQUENT are.
 BUCKETS, FREQUENT = 1 << 18, 4
 _TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -186,6 +188,35 @@ def simhash_links(sets: DataFrame) -> DataFrame:
     return verified(write_shared(equal.union(unlike).distinct(), "near-pairs"), sets)
 
 
+def with_pivots(held: DataFrame) -> DataFrame:
+    """held(key, node, n, known, least, met) with `least` of crowded keys replaced by their most central member."""
+    held = write_shared(held, "near-held")
+    crowds = held.where(F.col("met") > CROWD)
+    weights = crowds.groupBy("node").agg(F.sum("met").alias("weight"))
+    central = F.max_by(F.struct("node", "n", "known"), F.struct("weight", -F.col("node"))).alias("central")
+    pivots = write_shared(crowds.join(weights, "node").groupBy("key").agg(central), "near-pivots")
+    return held.join(small_side(pivots), "key", "left").withColumn("least", F.coalesce("central", "least")).drop("central", "met")
+
+
+def refined(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """crowds(key, node, n, root) under longer keys, which similar members of a key still share.
+
+    Within a key the prefix rule holds again, with an order of its own: by the number of members that hold a shingle. What
+    only one holds comes first and can't be shared, so texts that have but a passage in common get no key at all.
+    """
+    top, under = SIMILAR
+    crowds = write_shared(crowds, "near-crowds")
+    held = sets.select("node", F.array_distinct("shingles").alias("shingles")).join(crowds.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    each = crowds.join(held, "node").select("key", "node", "n", "root", F.size("shingles").alias("own"), F.explode("shingles").alias("shingle"))
+    each = write_shared(each, "near-each")
+    often = each.groupBy("key", "shingle").agg(F.count("*").alias("met")).where("met > 1")
+    order = F.sort_array(F.collect_list(F.struct("met", "shingle"))).alias("order")
+    shared = each.join(often, ["key", "shingle"]).groupBy("key", "node", "n", "root", "own").agg(order)
+    reach = F.col("n") - F.ceil(F.col("n") * top / under) + 1 - (F.col("own") - F.size("order"))
+    chosen = F.explode(F.slice("order", 1, F.greatest(F.lit(0), reach).cast("int"))).alias("item")
+    return shared.select("key", "node", "n", "root", chosen).select(F.xxhash64("key", "item.shingle").alias("key"), "node", "n", "root")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the near copies among the nodes of sets, a written table."""
     top, under = SIMILAR
@@ -194,16 +225,17 @@ def links(sets: DataFrame) -> DataFrame:
     keys = sets.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
     keys = keys.join(small_side(known), F.col("node") == F.col("member"), "left").select("key", "node", "n", F.coalesce("known", "node").alias("known"))
     keys = write_shared(keys, "near-keys")
-    met = keys.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.min(F.struct("node", "n", "known")).alias("least")).where("low < high")
-    held = write_shared(keys.join(met.select("key", "least"), "key"), "near-met")
+    met = keys.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.min(F.struct("node", "n", "known")).alias("least"), F.count("*").alias("met")).where("low < high")
+    held = write_shared(with_pivots(keys.join(met.select("key", "least", "met"), "key")), "near-met")
     alike = lambda p, q: under * F.least(p, q) >= top * F.greatest(p, q)
     first = held.where((F.col("known") != F.col("least.known")) & alike(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
     stars = close.union(verified(write_shared(first, "near-pairs"), sets))
     tree = write_shared(components(stars), "near-tree").withColumnRenamed("node", "member")
     rooted = held.select("key", "node", "n").join(small_side(tree), F.col("node") == F.col("member"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = write_shared(rooted, "near-rooted")
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = rooted.join(split, "key", "left_semi")
+    split = write_shared(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met")).where("low < high").select("key", "met"), "near-split")
+    few = rooted.join(split.where(F.col("met") <= CROWD), "key", "left_semi")
+    rooted = write_shared(few.union(refined(rooted.join(split.where(F.col("met") > CROWD), "key", "left_semi"), sets)), "near-few")
     a, b = [rooted.select("key", F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("root").alias(f"{x}_root")) for x in "ab"]
     across = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & alike(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
     return stars.union(verified(write_shared(across, "near-pairs"), sets))
