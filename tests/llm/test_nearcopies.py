@@ -6,9 +6,12 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from test_selection import WORD
 
+from factloom.llm import nearcopies
+
 DOCS = "doc_id long, text string, size string"
 
 
@@ -69,3 +72,15 @@ def test_rows_not_ids_are_dropped(spark, sf_dir, odd_docs, no_docs):
     assert len(left) == 5
     assert corpus_pipeline.near_dedup(spark, odd_docs, sf_dir).columns == odd_docs.columns
     assert corpus_pipeline.near_dedup(spark, no_docs, sf_dir).count() == 0
+
+
+def test_similar_small_sets_share_a_key_under_any_ranks():
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        ranks = rng.integers(0, 256, nearcopies.BUCKETS // 64, dtype=np.uint8).repeat(64)
+        n = int(rng.integers(1, 100))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        changed = int(rng.integers(0, max(1, n // 9 + 1)))
+        b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(nearcopies.keys_of(a, ranks), nearcopies.keys_of(b, ranks)))
