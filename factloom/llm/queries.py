@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, media, mixing, pages, quality, rules, sharding, simhash, tokenfiles
+from factloom.llm import bpe, chat, media, mixing, pages, quality, rules, sharding, simhash, tokencounts, tokenfiles
 from factloom.llm.shared import table, word_count, write_shared
 
 
@@ -65,6 +65,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), texts=False)
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op12_token_counts": op12_token_counts,
     "pipeline": pipeline,
 }
 
