@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, media, mixing, pages, quality, rules, sharding, simhash, tokencounts, tokenfiles
+from factloom.llm import alignment, bpe, chat, media, mixing, pages, quality, rules, sharding, simhash, tokencounts, tokenfiles
 from factloom.llm.shared import table, word_count, write_shared
 
 
@@ -69,6 +69,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
     "op12_token_counts": op12_token_counts,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 
