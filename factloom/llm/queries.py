@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import alignment, bpe, chat, media, mixing, pages, quality, rules, sharding, simhash, tokencounts, tokenfiles
+from factloom.llm import alignment, bpe, chat, collocations, media, mixing, pages, quality, rules, sharding, simhash, tokencounts, tokenfiles
 from factloom.llm.shared import table, word_count, write_shared
 
 
@@ -65,6 +65,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), texts=False)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_collocations": op11_collocations,
     "op12_token_counts": op12_token_counts,
     "op13_alignment": op13_alignment,
     "pipeline": pipeline,
@@ -151,4 +156,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op1_mixing": _OP1, "op3_chat": _OP3}
+_OP11 = r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), s AS (
+  SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS ws FROM g WHERE k > 1
+), t AS (
+  SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:j], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[j + 1:], ' ')
+), b AS (
+  SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), i AS (
+  SELECT lang, array_to_string(ws[x:x + y - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - y + 2)) AS x FROM (SELECT *, unnest(range(2, k)) AS y FROM c)) GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN s ON s.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op1_mixing": _OP1, "op3_chat": _OP3, "op11_collocations": _OP11}
