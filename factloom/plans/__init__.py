@@ -1,3 +1,3 @@
 
 
-from factloom.plans import catalog, documents, reasoning  # noqa: E402, F401
+from factloom.plans import answers, catalog, documents, reasoning  # noqa: E402, F401

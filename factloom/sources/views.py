@@ -64,6 +64,25 @@ _BODIES = f"SELECT doc_id, CAST(max(day) AS DATE) AS published, array_join(trans
 VIEWS["reports"] = _REPORT.replace("{bodies}", _BODIES)
 #: The same view where DuckDB has other words for it.
 DUCK = {"reports": _REPORT.replace("{bodies}", f"SELECT doc_id, CAST(max(day) AS DATE) AS published, string_agg(body, '\n' ORDER BY part, line, body) AS body FROM ({_LINES}) GROUP BY doc_id")}
+#: An answer on each report, from the returned lines of its orders: headings, bullets, citations, and figures that are partly off by one.
+_SAID = """
+SELECT o.o_custkey AS answer_id, o.o_orderkey AS part, l.l_linenumber AS line,
+       concat(CASE l.l_suppkey % 4 WHEN 0 THEN '- ' WHEN 1 THEN '**' WHEN 2 THEN '2. ' ELSE '' END,
+       CASE l.l_linenumber % 4 WHEN 0 THEN concat('The target is ', CAST(CAST(l.l_quantity AS INT) + l.l_suppkey % 3 AS STRING), '% renewable electricity by ', CAST(2025 + l.l_suppkey % 6 AS STRING))
+         WHEN 1 THEN concat('The ', lower(p.p_type), ' programme adds ', CAST(CAST(l.l_quantity AS INT) + l.l_suppkey % 2 AS STRING), ' MW of solar capacity. It includes ', p.p_name, ' therefore')
+         WHEN 2 THEN concat('Investment reaches USD ', CAST(CAST(l.l_quantity AS INT) AS STRING), ',500 million for storage') ELSE concat('Overall, ', p.p_name, ' compared with hydrogen gets ', CAST(CAST(l.l_quantity AS INT) + 1 AS STRING), ' tonnes') END,
+       CASE l.l_suppkey % 4 WHEN 1 THEN '**' ELSE '' END, CASE l.l_partkey % 3 WHEN 0 THEN ' [CA-001].' WHEN 1 THEN ' ([CA-002])!' ELSE '.' END) AS body
+FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey WHERE l.l_returnflag = 'R'"""
+VIEWS["answers"] = f"SELECT answer_id, concat('## Summary\n\n', array_join(transform(array_sort(collect_list(struct(part, line, body))), x -> x.body), '\n')) AS text FROM ({_SAID}) GROUP BY answer_id"
+DUCK["answers"] = f"SELECT answer_id, concat('## Summary\n\n', string_agg(body, '\n' ORDER BY part, line, body)) AS text FROM ({_SAID}) GROUP BY answer_id"
+#: What was retrieved for each answer: its own report and the next two of the same country.
+_RETRIEVED = """
+SELECT a.doc_id AS answer_id, a.place, concat('CA-00', CAST(a.place AS STRING)) AS citation_id, r.doc_id, r.country, r.published, r.title, r.text AS content, 0.4E0 + (r.doc_id % 6) / 10.0E0 AS evidence_score, (r.doc_id % 8) / 10.0E0 AS semantic_score
+FROM (SELECT doc_id, 1 AS place, doc_id AS other FROM ({reports})
+      UNION ALL SELECT doc_id, 2, lead(doc_id, 1) OVER (PARTITION BY country ORDER BY doc_id) FROM ({reports})
+      UNION ALL SELECT doc_id, 3, lead(doc_id, 2) OVER (PARTITION BY country ORDER BY doc_id) FROM ({reports})) a JOIN ({reports}) r ON r.doc_id = a.other"""
+VIEWS["retrieved"] = _RETRIEVED.replace("{reports}", VIEWS["reports"])
+DUCK["retrieved"] = _RETRIEVED.replace("{reports}", DUCK["reports"])
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings conversations pages labels".split()
 
 
