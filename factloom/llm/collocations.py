@@ -2,7 +2,7 @@
 
 Each shard (a slice of a few megabytes of one language's texts) makes a trie of the words that follow each word within a
 piece, DEPTH words deep, with the number of times that each path ends. It is serialised in order: its distinct words
-sorted by bytes, then its paths sorted, each without the words it shares with the path before it. The shard cuts its trie
+sorted by bytes, then its paths sorted, each without the words it shares with the path before it, compressed. The shard cuts its trie
 into prefix ranges; a range's tries from all shards are merged in one task by sorting their paths together (the runs are
 sorted already), and a walk over the merged trie sums the counts below every node.
 
@@ -124,7 +124,7 @@ def frequent_bits(words: DataFrame) -> np.ndarray:
 
 def paths_of(number: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """For each word, itself and those that follow in its piece, DEPTH in all, as numbers from 1; 0 fills up. A word numbered 0 ends the path."""
-    paths = np.zeros((len(number), DEPTH), np.int64)
+    paths = np.zeros((len(number), DEPTH), np.int32)
     paths[:, 0] = number
     for k in range(1, DEPTH):
         goes_on = (piece[k:] == piece[:-k]) & (paths[:-k, k - 1] > 0) if len(number) > k else np.empty(0, bool)
@@ -140,7 +140,7 @@ def _keys(paths: np.ndarray) -> list[np.ndarray]:
         for k in range(DEPTH):
             key = key << width | paths[:, k]
         return [key]
-    return [paths[:, k] << 31 | paths[:, k + 1] for k in range(DEPTH - 2, -1, -2)]
+    return [paths[:, k].astype(np.int64) << 31 | paths[:, k + 1] for k in range(DEPTH - 2, -1, -2)]
 
 
 def summed(paths: np.ndarray, n: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -165,8 +165,19 @@ def ranges(paths: np.ndarray, hashed: np.ndarray, hot: np.ndarray) -> tuple[np.n
     return found, depth
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _joined(body: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(-1)
+
+
 def pack(words: pa.Array, paths: np.ndarray, n: np.ndarray) -> bytes:
-    """A trie: its words (sorted), and its sorted paths, each as the number of words shared with the one before, its depth, the further words and its count."""
+    """A trie: its words (sorted), and its sorted paths, each as the number of words shared with the one before, its depth, the further words and its count.
+
+    Numbers stand in planes (all lowest bytes first), which compress far better than number by number.
+    """
     used = np.unique(paths[paths > 0])
     place = np.zeros(int(used.max(initial=0)) + 1, np.uint32)
     place[used] = np.arange(len(used))
@@ -177,11 +188,13 @@ def pack(words: pa.Array, paths: np.ndarray, n: np.ndarray) -> bytes:
     at = np.arange(DEPTH)
     new = (at >= shared[:, None]) & (at < depth[:, None])
     ids = place[paths[new]]
-    return struct.pack("<III", len(used), len(paths), len(ids)) + np.diff(offsets).astype("<u4").tobytes() + data.tobytes() + shared.tobytes() + depth.tobytes() + ids.astype("<u4").tobytes() + n.astype("<u4").tobytes()
+    body = struct.pack("<III", len(used), len(paths), len(ids)) + np.diff(offsets).astype("<u4").tobytes() + data.tobytes() + shared.tobytes() + depth.tobytes() + _planes(ids) + _planes(n)
+    return struct.pack("<I", len(body)) + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def unpack(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words, paths (numbers from 1) and counts of a packed trie."""
+    body = pa.decompress(body[4:], decompressed_size=struct.unpack_from("<I", body)[0], codec="zstd", asbytes=True)
     n_words, n_paths, n_ids = struct.unpack_from("<III", body)
     lengths = np.frombuffer(body, "<u4", n_words, 12)
     bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64)
@@ -189,8 +202,8 @@ def unpack(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     words = pa.Array.from_buffers(pa.large_string(), n_words, [None, pa.py_buffer(bounds), pa.py_buffer(body[at : at + int(bounds[-1])])])
     at += int(bounds[-1])
     shared, depth = np.frombuffer(body, np.uint8, n_paths, at), np.frombuffer(body, np.uint8, n_paths, at + n_paths)
-    ids = np.frombuffer(body, "<u4", n_ids, at + 2 * n_paths)
-    n = np.frombuffer(body, "<u4", n_paths, at + 2 * n_paths + 4 * n_ids).astype(np.int64)
+    ids = _joined(body, n_ids, at + 2 * n_paths)
+    n = _joined(body, n_paths, at + 2 * n_paths + 4 * n_ids).astype(np.int64)
     level = np.arange(DEPTH)
     new = (level >= shared[:, None]) & (level < depth[:, None])
     paths = np.zeros((n_paths, DEPTH), np.int64)
@@ -286,7 +299,7 @@ def phrases(docs: DataFrame, counts: DataFrame, least: int = LEAST, range_words:
     sc = docs.sparkSession.sparkContext
     total = counts.where("word is null").agg(F.sum("f")).first()[0] or 0
     bitmap = sc.broadcast(frequent_bits(counts.where("word is not null")))
-    share = max(total // hot_words, range_words // 16, 1)
+    share = max(total // hot_words, range_words)
     rows = counts.where(F.col("word").isNotNull() & (F.col("f") > share)).select("lang", "word").toArrow()  # fewer than hot_words rows
     own = [mix(hashes(pa.array([r["word"]])) + _lang_hash(r["lang"]))[0] for r in rows.to_pylist()]
     hot = sc.broadcast(np.array(own, np.uint64))

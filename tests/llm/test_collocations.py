@@ -51,7 +51,7 @@ ROWS = [
 ] * 3
 
 
-@pytest.mark.parametrize(("least", "top", "hot", "words"), [(2, 2000, c.HOT, c.RANGE_WORDS), (3, 5, 10**6, 16), (1, 2000, 10**6, 4), (4, 3, 8, 64)])
+@pytest.mark.parametrize(("least", "top", "hot", "words"), [(2, 2000, c.HOT, c.RANGE_WORDS), (3, 5, 10**6, 4), (1, 2000, 10**6, 1), (4, 3, 8, 64)])
 def test_equal_to_plain_counts(spark, least, top, hot, words):
     docs = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], "lang string, text string, words string, f long").repartition(5)
     found = sorted(map(tuple, c.collocations(docs, least, top, 80, words, hot).collect()))
@@ -60,7 +60,7 @@ def test_equal_to_plain_counts(spark, least, top, hot, words):
 
 def test_documents_with_few_occurrences(spark, documents):
     rows = [tuple(r) for r in documents.select("lang", "text").where("length(text) < 4000").collect()]
-    found = sorted(map(tuple, c.collocations(documents.where("length(text) < 4000"), 5, 300, 80, 1000, 10**5).collect()))
+    found = sorted(map(tuple, c.collocations(documents.where("length(text) < 4000"), 5, 300, 80, 200, 10**5).collect()))
     assert found == sorted(brute(rows, 5, 300, 80))
 
 
