@@ -1,3 +1,3 @@
 
 
-from factloom.plans import answers, catalog, documents, figures, reasoning  # noqa: E402, F401
+from factloom.plans import answers, catalog, documents, figures, reasoning, trees  # noqa: E402, F401

@@ -27,9 +27,9 @@ SELECT concat('R', r_regionkey) AS id, r_name AS name, 'region' AS kind FROM {re
 UNION ALL SELECT concat('N', n_nationkey), n_name, 'country' FROM {nation}
 UNION ALL SELECT concat('S', s_suppkey), s_name, 'organization' FROM {supplier}""",
     "edges": """
-SELECT concat('S', s_suppkey) AS subject, 'IS_A' AS predicate, concat('N', s_nationkey) AS object, (s_suppkey % 10) / 10.0E0 AS confidence FROM {supplier}
-UNION ALL SELECT concat('N', n_nationkey), 'IS_A', concat('R', n_regionkey), (n_nationkey % 10) / 10.0E0 FROM {nation}
-UNION ALL SELECT concat('S', s_suppkey), 'SUPPORTS', concat('S', (s_suppkey * 7 + 3) % 50 + 1), ((s_suppkey + 5) % 10) / 10.0E0 FROM {supplier}""",
+SELECT concat('S', s_suppkey) AS subject, 'IS_A' AS predicate, concat('N', s_nationkey) AS object, (s_suppkey % 10) / 10.0E0 AS confidence, CAST(s_suppkey AS BIGINT) AS ord FROM {supplier}
+UNION ALL SELECT concat('N', n_nationkey), 'IS_A', concat('R', n_regionkey), (n_nationkey % 10) / 10.0E0, 1000000 + n_nationkey FROM {nation}
+UNION ALL SELECT concat('S', s_suppkey), 'SUPPORTS', concat('S', (s_suppkey * 7 + 3) % 50 + 1), ((s_suppkey + 5) % 10) / 10.0E0, 2000000 + s_suppkey FROM {supplier}""",
     "claims": """
 SELECT event_id AS ord, concat('U', user_id % 200) AS subject, event_type AS predicate, concat('O', event_id % 7) AS object, least(value / 200.0E0, 1.0E0) AS confidence,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 5 = 0 AS negated,
@@ -83,6 +83,14 @@ FROM (SELECT doc_id, 1 AS place, doc_id AS other FROM ({reports})
       UNION ALL SELECT doc_id, 3, lead(doc_id, 2) OVER (PARTITION BY country ORDER BY doc_id) FROM ({reports})) a JOIN ({reports}) r ON r.doc_id = a.other"""
 VIEWS["retrieved"] = _RETRIEVED.replace("{reports}", VIEWS["reports"])
 DUCK["retrieved"] = _RETRIEVED.replace("{reports}", DUCK["reports"])
+#: Pairs of nodes of the graph that trade: suppliers of orders and the nations that they go to.
+VIEWS["trade"] = """
+SELECT DISTINCT concat('S', l.l_suppkey) AS start, concat('N', c.c_nationkey) AS target FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey"""
+#: Trees of parts: one for each fifty, up to some forty steps deep.
+VIEWS["taxonomy"] = """
+SELECT concat('P', p_partkey) AS child, CASE WHEN p_partkey % 50 = 0 THEN concat('T', p_partkey DIV 50) WHEN p_partkey % 50 > 1 AND p_partkey % 7 = 0 THEN concat('P', p_partkey - 2) ELSE concat('P', p_partkey - 1) END AS parent,
+       CAST(p_partkey AS BIGINT) AS ord, CAST(p_size AS BIGINT) AS size FROM {part}"""
+DUCK["taxonomy"] = VIEWS["taxonomy"].replace(" DIV ", " // ")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings conversations pages labels".split()
 
 
