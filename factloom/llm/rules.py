@@ -184,7 +184,7 @@ def estimates(z: DataFrame) -> DataFrame:
 
 
 def _name(*columns: str) -> Column:
-    return F.to_json(F.struct(*columns))
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})  # a null is a value of its own
 
 
 def _shrunk(frames):

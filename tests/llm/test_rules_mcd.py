@@ -90,3 +90,15 @@ def test_groups_of_one_row_and_no_rows(spark):
     docs = spark.createDataFrame([(1, text, "en", "a"), (2, text, None, None), (3, "", "fr", "b")], "doc_id long, text string, lang string, source string")
     assert {r["doc_id"]: r["kept"] for r in rules.verdicts(docs).collect()} == {1: True, 2: True, 3: False}
     assert rules.verdicts(docs.where(F.col("doc_id") == 3)).count() == 1
+
+
+def test_null_groups_are_groups_of_their_own(spark, documents):
+    """Nulls in language and source give the estimates that names of their own would give."""
+    from pyspark.sql import functions as F
+
+    source = F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise(F.col("source").substr(1, 4))
+    lang = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("lang"))
+    docs = documents.withColumn("source", source).withColumn("lang", lang)
+    named = docs.fillna("none", ["source", "lang"])
+    found, expected = [{(r.lang or "none", r.source or "none", r.doc_id): (round(r.distance, 6) if r.distance is not None else None, r.kept) for r in rules.verdicts(d).collect()} for d in (docs, named)]
+    assert found == expected and any("none" in k for k in found)
