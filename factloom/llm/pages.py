@@ -34,15 +34,21 @@ GAMMA, NOISE = 0.9, 0.3
 OUTSIDE, INSIDE = 3.0, 12.0
 
 #: Elements and names that say what a part of a page is.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe object svg math xmp".split())
+RAW = frozenset("script style title textarea noscript template iframe object svg xmp".split())
 GONE = frozenset("nav footer aside form menu dialog button select datalist".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion footer form login menu modal nav "
     "navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor "
     "sponsored subscribe subscription toolbar widget complementary contentinfo search alert".split()
 )
+#: Words of a name that say nothing of what a part is, and names of parts in which articles aren't the page's own.
+NEUTRAL = frozenset(
+    "area bar bars block bottom box button buttons center container fixed global group holder home inner item items left link links list lists outer overlay page panel primary region right row secondary section site slot "
+    "sticky top unit wrap wrapper zone".split()
+)
+OTHERS = frozenset("comment comments discussion disqus recommended related replies reply respond promo promoted sponsored".split())
 HEADS = frozenset("header masthead topbar".split())
 BODIES = frozenset("article content post entry story maintext articlebody".split())
 #: An open element that ends when one of the others begins or its parent ends.
@@ -63,10 +69,21 @@ def _key(text: str, parent: int = 0) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), parent % 2**64) - (1 << 63)
 
 
+def boilerplate(names: list[str]) -> set[str]:
+    """The words of NAMES in class names, ids or roles that consist of such words only, but for neutral ones and numbers (`ad-slot-2`, not `with-sidebar`)."""
+    found: set[str] = set()
+    for name in names:
+        words = set(_SPLIT.split(name)) - {""}
+        if words & NAMES and all(w in NAMES or w in NEUTRAL or w.isdigit() for w in words):
+            found |= words & NAMES
+    return found
+
+
 def parse(html: str | None) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, str]]]:
     """Blocks (path, parent's path, text, place) in page order and elements (path, order of child tags).
 
-    place: -1 where markup names boilerplate, 3 in an article, 2 in main, 1 in an element named as content, 0 elsewhere.
+    place: -1 where markup names boilerplate by tag or as a part with articles of others, -2 where a name does otherwise (a main
+    element or article inside counts again), 3 in an article, 2 in main, 1 in an element named as content, 0 elsewhere.
     """
     html = html or ""
     blocks: list[tuple[int, int, str, int]] = []
@@ -126,10 +143,15 @@ def parse(html: str | None) -> tuple[list[tuple[int, int, str, int]], list[tuple
         named = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop")).lower()
         names = set(_SPLIT.split(named)) if named.strip() else frozenset()
         place = stack[-1][2]
-        if place >= 0 and tag not in ("html", "body"):
+        if place != -1 and tag not in ("html", "body"):
             head = tag == "header" or names & HEADS
-            if tag in GONE or names & NAMES or (head and place < 1 and not names & BODIES):
+            gone = boilerplate(named.split()) if named.strip() else frozenset()
+            if tag in GONE or gone & OTHERS:
                 place = -1
+            elif gone or (head and 0 <= place < 1 and not names & BODIES):
+                place = -2 if tag not in ("article", "main") or not gone else -1
+            elif place == -2 and tag not in ("article", "main"):
+                pass
             elif tag == "article":
                 place = 3
             elif tag == "main" or "main" in named.split():

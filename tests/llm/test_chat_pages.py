@@ -93,6 +93,24 @@ def test_markup_names_boilerplate(spark):
     assert texts(spark, [(1, "http://a.b/x", html)])[1] == "Head & line One two three four Tail <p> é"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='layout with-sidebar'><article><p>One</p></article><div class='sidebar left'>no</div></div>", "One"),
+        ("<div class='content no-comments'><p>Two</p><div class='ad-slot-2'>no</div></div>", "Two"),
+        ("<main><div class='article-share-wrap'><p>Three</p></div><div class='share-buttons'>no</div></main>", "Three"),
+        ("<div class='banner'>no<article><p>Four</p></article></div>", "Four"),
+        ("<div class='modal'><main><p>Five</p></main></div>", "Five"),
+        ("<article><p>Six</p></article><section class='comments'><article><p>no</p></article></section>", "Six"),
+        ("<div><p>Seven</p></div><div class='related'><article>no</article></div>", "Seven"),
+        ("<header>no<nav>no</nav></header><article><header><h1>Eight</h1></header><p>and <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p></article>", "Eight and x+1"),
+        ("<article class='post no-sidebar' id='main-content'><p>Nine</p></article>", "Nine"),
+    ],
+)
+def test_wrappers_that_name_boilerplate_in_passing(spark, html, text):
+    assert texts(spark, [(1, "http://a.b/x", f"<html><body>{html}</body></html>")])[1] == text
+
+
 def test_what_a_host_repeats_goes(spark):
     rows = [(k, f"http://host.org/{k}", f"<body><div class=top>Welcome to us</div><div class=text><p>Page {k} says a thing of its own</p></div><div class=bottom>All rights</div></body>") for k in range(8)]
     rows += [(100, "http://other.org/", "<body><div class=top>Welcome to us</div></body>")]
