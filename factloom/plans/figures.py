@@ -86,23 +86,30 @@ def txt8(s, d):
 
 
 _ALIKE = "len(list_intersect({a}, {b})) >= 2 AND len(list_intersect({a}, {b})) >= {least} * least(len({a}), len({b}))"
-_CONFLICTS = rf"""WITH {_claims('retrieved', 'answer_id, place', 'content')}, fw AS (
+def conflicts_sql(source: str) -> str:
+    """Members of a WITH, the last of which (hit) has the contradictions of the evidence in source, repeated ones too."""
+    return rf"""
+{_claims(source, 'answer_id, place', 'content')}, fw AS MATERIALIZED (
   SELECT *, {_words('around')} AS ws FROM figures
-), tx AS (
-  SELECT answer_id, place, doc_id, published, country, {_words('content')} AS topic FROM retrieved
+), tx AS MATERIALIZED (
+  SELECT answer_id, place, doc_id, published, country, {_words('content')} AS topic FROM {source}
 ), pr AS (
   SELECT l.answer_id, l.place AS lp, r.place AS rp, l.doc_id AS left_doc, r.doc_id AS right_doc, CASE WHEN l.published > r.published THEN 'left' WHEN r.published > l.published THEN 'right' ELSE 'undetermined' END AS preferred
   FROM tx l JOIN tx r ON l.answer_id = r.answer_id AND l.place < r.place AND l.doc_id <> r.doc_id AND lower(l.country) = lower(r.country) WHERE {_ALIKE.format(a="l.topic", b="r.topic", least="0.3E0")}
-), hit AS (
-  SELECT pr.*, l.unit, CASE WHEN l.currency <> '' THEN l.currency ELSE r.currency END AS currency, l.year, l.value AS left_value, l.raw AS left_raw, r.value AS right_value, r.raw AS right_raw, l.p AS la, r.p AS ra
+), near AS (
+  SELECT pr.*, l.unit, CASE WHEN l.currency <> '' THEN l.currency ELSE r.currency END AS currency, l.year, l.value AS left_value, l.raw AS left_raw, r.value AS right_value, r.raw AS right_raw, l.p AS la, r.p AS ra,
+         len(list_intersect(l.ws, r.ws)) AS shared, least(len(l.ws), len(r.ws)) AS size
   FROM pr JOIN fw l ON l.answer_id = pr.answer_id AND l.place = lp JOIN fw r ON r.answer_id = pr.answer_id AND r.place = rp AND r.unit = l.unit AND r.year IS NOT DISTINCT FROM l.year
-  WHERE l.value <> r.value AND (l.currency = '' OR r.currency = '' OR l.currency = r.currency) AND {_ALIKE.format(a="l.ws", b="r.ws", least="0.35E0")}
-)
-SELECT answer_id, unit, currency, year, left_doc, left_value, left_raw, right_doc, right_value, right_raw, preferred FROM hit
-QUALIFY row_number() OVER (PARTITION BY answer_id, unit, currency, year, left_doc, left_value, right_doc, right_value ORDER BY lp, rp, la, ra) = 1"""
+  WHERE l.value <> r.value AND (l.currency = '' OR r.currency = '' OR l.currency = r.currency)
+), hit AS (
+  SELECT * FROM near WHERE shared >= 2 AND shared >= 0.35E0 * size
+)"""
+
+
+_FIRST = "SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY answer_id, unit, currency, year, left_doc, left_value, right_doc, right_value ORDER BY lp, rp, la, ra) = 1"
 
 
-@query("jon6_conflicts", _CONFLICTS)
+@query("jon6_conflicts", f"WITH {conflicts_sql('retrieved')} SELECT answer_id, unit, currency, year, left_doc, left_value, left_raw, right_doc, right_value, right_raw, preferred FROM ({_FIRST})")
 def jon6(s, d):
     """Figures of an answer's evidence that contradict each other across documents."""
     return numbers.conflicts(view(s, d, "retrieved").withColumn("section", F.lit("")))

@@ -58,7 +58,7 @@ SELECT o.o_custkey AS doc_id, o.o_orderdate AS day, o.o_orderkey AS part, l.l_li
 FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey"""
 _REPORT = """
 SELECT b.doc_id, n.n_name AS country, b.published, concat('Plan of Customer ', CAST(b.doc_id AS STRING)) AS title, CASE b.doc_id % 4 WHEN 0 THEN 'government' WHEN 1 THEN 'registry' WHEN 2 THEN 'research' ELSE 'news' END AS source_class,
-       concat('Plan of Customer ', CAST(b.doc_id AS STRING), '\n\n', c.c_mktsegment, ' policy overview for ', n.n_name, '.\n', b.body) AS text
+       c.c_mktsegment AS issuer, CASE b.doc_id % 7 WHEN 0 THEN 'verified' WHEN 1 THEN 'pending_review' WHEN 2 THEN 'failed' ELSE 'published' END AS status, concat('Plan of Customer ', CAST(b.doc_id AS STRING), '\n\n', c.c_mktsegment, ' policy overview for ', n.n_name, '.\n', b.body) AS text
 FROM ({bodies}) b JOIN {customer} c ON c.c_custkey = b.doc_id JOIN {nation} n ON n.n_nationkey = c.c_nationkey"""
 _BODIES = f"SELECT doc_id, CAST(max(day) AS DATE) AS published, array_join(transform(array_sort(collect_list(struct(part, line, body))), x -> x.body), '\n') AS body FROM ({_LINES}) GROUP BY doc_id"
 VIEWS["reports"] = _REPORT.replace("{bodies}", _BODIES)
@@ -77,12 +77,19 @@ VIEWS["answers"] = f"SELECT answer_id, concat('## Summary\n\n', array_join(trans
 DUCK["answers"] = f"SELECT answer_id, concat('## Summary\n\n', string_agg(body, '\n' ORDER BY part, line, body)) AS text FROM ({_SAID}) GROUP BY answer_id"
 #: What was retrieved for each answer: its own report and the next two of the same country.
 _RETRIEVED = """
-SELECT a.doc_id AS answer_id, a.place, concat('CA-00', CAST(a.place AS STRING)) AS citation_id, r.doc_id, r.country, r.published, r.title, r.text AS content, 0.4E0 + (r.doc_id % 6) / 10.0E0 AS evidence_score, (r.doc_id % 8) / 10.0E0 AS semantic_score
+SELECT a.doc_id AS answer_id, a.place, concat('CA-00', CAST(a.place AS STRING)) AS citation_id, r.doc_id, CASE WHEN r.doc_id % 11 = 0 THEN 'Global' ELSE r.country END AS country, r.published, r.title, r.source_class, r.issuer, r.status, r.text AS content, 0.4E0 + (r.doc_id % 6) / 10.0E0 AS evidence_score, (r.doc_id % 8) / 10.0E0 AS semantic_score
 FROM (SELECT doc_id, 1 AS place, doc_id AS other FROM ({reports})
       UNION ALL SELECT doc_id, 2, lead(doc_id, 1) OVER (PARTITION BY country ORDER BY doc_id) FROM ({reports})
       UNION ALL SELECT doc_id, 3, lead(doc_id, 2) OVER (PARTITION BY country ORDER BY doc_id) FROM ({reports})) a JOIN ({reports}) r ON r.doc_id = a.other"""
 VIEWS["retrieved"] = _RETRIEVED.replace("{reports}", VIEWS["reports"])
 DUCK["retrieved"] = _RETRIEVED.replace("{reports}", DUCK["reports"])
+#: What was asked for each answer: of its own country, of another, a comparison, or of no country.
+_ASKED = """
+SELECT r.doc_id AS answer_id, CASE r.doc_id % 4 WHEN 0 THEN concat('What does ', r.country, ' plan?') WHEN 1 THEN concat('Is solar planned in Nation_', CAST(r.doc_id % 25 AS STRING), '?')
+       WHEN 2 THEN concat('Compare worldwide targets with ', r.country, ' and nation_', CAST(r.doc_id % 25 AS STRING)) ELSE 'How large is the solar plan?' END AS question
+FROM ({reports}) r"""
+VIEWS["asked"] = _ASKED.replace("{reports}", VIEWS["reports"])
+DUCK["asked"] = _ASKED.replace("{reports}", DUCK["reports"])
 #: Pairs of nodes of the graph that trade: suppliers of orders and the nations that they go to.
 VIEWS["trade"] = """
 SELECT DISTINCT concat('S', l.l_suppkey) AS start, concat('N', c.c_nationkey) AS target FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey"""
