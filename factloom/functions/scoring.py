@@ -85,3 +85,18 @@ def methane_credits(tonnes: Column, efficiency: float = 0.9, warming: float = 28
 
 def biochar_credits(tonnes: Column, carbon: float = 0.7, permanence: float = 0.8) -> Column:
     return tonnes * carbon * 44.0 / 12.0 * permanence
+
+
+def traceability(document: Column, chunk: Column, place: Column, url: Column, page: Column, section: Column) -> Column:
+    """How far evidence can be traced, from whether each of its references is known."""
+    weights = [(document, 0.25), (chunk, 0.25), (place, 0.15), (url, 0.15), (page, 0.1), (section, 0.1)]
+    return reduce(lambda a, b: a + b, [F.when(known, w).otherwise(0.0) for known, w in weights])
+
+
+def source_quality(authority_share: Column, verified: Column, fresh: Column, metadata: Column, traced: Column) -> Column:
+    return 0.3 * authority_share + 0.25 * verified + 0.15 * fresh + 0.15 * metadata + 0.15 * traced
+
+
+def stars(quality: Column) -> Column:
+    """Five bands of source quality."""
+    return F.when(quality >= 0.9, 5).when(quality >= 0.78, 4).when(quality >= 0.62, 3).when(quality >= 0.45, 2).otherwise(1)

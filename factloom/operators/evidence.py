@@ -18,8 +18,9 @@ def deduplicated(claims: DataFrame) -> DataFrame:
 
 
 def polarity_conflicts(claims: DataFrame) -> DataFrame:
-    """Claims that are both affirmed and negated."""
-    n = claims.groupBy("subject", "predicate", "object").agg(F.count_if(~F.col("negated")).alias("affirmed"), F.count_if(F.col("negated")).alias("negated"))
+    """Claims that are both affirmed and negated; a null `negated` is false."""
+    no = F.coalesce(F.col("negated"), F.lit(False))
+    n = claims.groupBy("subject", "predicate", "object").agg(F.count_if(~no).alias("affirmed"), F.count_if(no).alias("negated"))
     return n.where("affirmed > 0 AND negated > 0")
 
 

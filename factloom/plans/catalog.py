@@ -286,14 +286,27 @@ def txt2(s, d):
     return text.sentences(table(s, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"))
 
 
-@query("txt6_values", r"SELECT id, CASE WHEN regexp_matches(text, 'USD [0-9.]+ (million|billion)') THEN 'currency' WHEN regexp_matches(text, '[0-9.]+ ?%') THEN 'percentage' ELSE 'measurement' END AS kind, CASE WHEN regexp_matches(text, 'USD') THEN amount * 1e6 ELSE amount END AS number FROM statements")
+@query("txt6_values", rf"""SELECT id, kind, CASE kind WHEN 'currency' THEN money ELSE share END AS number, CASE kind WHEN 'currency' THEN upper(regexp_extract(text, '{text.MONEY}', 1)) WHEN 'percentage' THEN '%' ELSE 'GW' END AS unit,
+nullif(scale, '') AS scale, CASE WHEN kind = 'currency' THEN money * CASE scale WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 ELSE 1 END END AS amount, TRY_CAST(nullif(regexp_extract(text, '{text.BY_YEAR}', 1), '') AS INT) AS year, NULL::INT AS last_year
+FROM (SELECT id, text, CASE WHEN regexp_matches(text, '{text.MONEY}') THEN 'currency' WHEN regexp_matches(text, '{text.SHARE}') THEN 'percentage' ELSE 'measurement' END AS kind, lower(regexp_extract(text, '{text.MONEY}', 3)) AS scale,
+      TRY_CAST(replace(regexp_extract(text, '{text.MONEY}', 2), ',', '') AS DOUBLE) AS money, TRY_CAST(regexp_extract(text, '({text.NUMBER})', 1) AS DOUBLE) AS share FROM statements)""")
 def txt6(s, d):
-    return view(s, d, "statements").select("id", text.structured_value(F.col("text")).alias("v")).select("id", "v.kind", "v.number")
+    return view(s, d, "statements").select("id", text.structured_value(F.col("text")).alias("v")).select("id", "v.*")
 
 
-@query("txt9_topics", "SELECT CASE WHEN lower(text) LIKE '%wind%' THEN 'wind_capacity' WHEN lower(text) LIKE '%million%' THEN 'investment' ELSE 'general' END AS topic, count(*) AS n FROM statements GROUP BY 1")
+def _topic_sql(column: str) -> str:
+    arms = " ".join(f"WHEN {' OR '.join(f'contains({column}, {chr(39)}{t}{chr(39)})' for t in terms)} THEN '{name}'" for name, terms in text.TOPICS)
+    return f"CASE {arms} ELSE 'general' END"
+
+
+@query("txt9_topics", f"""SELECT topic, count(*) AS n FROM (SELECT {_topic_sql("lower(x)")} AS topic FROM (SELECT trim(regexp_replace(regexp_replace(y, '^\\s*[-•]\\s*', ''), '\\s+', ' ', 'g')) AS x
+FROM (SELECT unnest(string_split(regexp_replace(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))) AS y FROM reports)) WHERE length(x) >= 15) GROUP BY topic""")
 def txt9(s, d):
-    return view(s, d, "statements").groupBy(text.topic(F.col("text")).alias("topic")).agg(F.count("*").alias("n"))
+    """Topics of the sentences and lines of all reports, of 15 characters or more."""
+    parts = F.split(F.trim("text"), r"(?<=[.!?])\s+|\n+")
+    lines = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*[-•]\s*", ""), r"\s+", " ")))
+    rows = view(s, d, "reports").select(F.explode(F.filter(lines, lambda x: F.length(x) >= 15)).alias("x"))
+    return rows.groupBy(text.topic(F.col("x")).alias("topic")).agg(F.count("*").alias("n"))
 
 
 @query("txt13_predicates", "SELECT event_type, upper(regexp_replace(trim(event_type), '[^A-Za-z0-9]+', '_', 'g')) AS predicate, count(*) AS n FROM events GROUP BY event_type")
@@ -322,12 +335,22 @@ def fun1(s, d):
     return view(s, d, "library").select("doc_id", scoring.rank_freshness(F.col("published"), AS_OF).alias("rank_freshness"), scoring.source_freshness(F.col("published"), AS_OF).alias("source_freshness"))
 
 
-@query("fun3_source_quality", f"SELECT doc_id, round(0.3 * {_AUTHORITY} / 100 + 0.25 * {_STATUS} + 0.15 * {_SOURCE_FRESH} + 0.15 * {_META}, 6) AS quality FROM library")
+_TRACE = "(0.25E0 + 0.25E0 + 0.15E0 + CASE WHEN doc_id % 3 = 0 THEN 0.15E0 ELSE 0E0 END + CASE WHEN page_start > 0 THEN 0.1E0 ELSE 0E0 END + CASE WHEN trim(section) <> '' THEN 0.1E0 ELSE 0E0 END)"
+_NINE = "(" + " + ".join(f"CASE WHEN trim(coalesce(CAST({c} AS VARCHAR), '')) <> '' THEN 1 ELSE 0 END" for c in ("title", "issuer", "country", "document_type", "source_class", "lang", "published")) + ") / 9.0E0"
+_QUALITY = f"0.3E0 * {_AUTHORITY} / 100 + 0.25E0 * {_STATUS} + 0.15E0 * {_SOURCE_FRESH} + 0.15E0 * {_NINE} + 0.15E0 * {_TRACE}"
+
+
+@query("fun3_source_quality", f"""SELECT doc_id, chunk, round(q, 6) AS quality, CASE WHEN q >= 0.9 THEN 5 WHEN q >= 0.78 THEN 4 WHEN q >= 0.62 THEN 3 WHEN q >= 0.45 THEN 2 ELSE 1 END AS stars
+FROM (SELECT doc_id, part AS chunk, {_QUALITY} AS q FROM (SELECT *, unnest([0, 1]) AS part, unnest([0, doc_id % 4]) AS page_start, unnest(['', 'Targets']) AS section FROM library))""")
 def fun3(s, d):
-    """Source quality without the traceability share, whose fields the driver tables lack."""
-    meta = scoring.filled_share(*[F.col(c) for c in ("title", "country", "issuer", "document_type", "source_class", "published")])
-    q = 0.3 * scoring.authority(F.col("source_class")) / 100 + 0.25 * scoring.verification(F.col("status")) + 0.15 * scoring.source_freshness(F.col("published"), AS_OF) + 0.15 * meta
-    return view(s, d, "library").select("doc_id", F.round(q, 6).alias("quality"))
+    """Source quality of evidence: authority, verification, freshness, metadata and how far it can be traced (document, chunk and place are known; url of every third; page and section of a document's second part)."""
+    parts = F.explode(F.array(F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("page_start"), F.lit("").alias("section")), F.struct(F.lit(1).alias("chunk"), (F.col("doc_id") % 4).alias("page_start"), F.lit("Targets").alias("section"))))
+    rows = view(s, d, "library").select("*", parts.alias("part"))
+    traced = scoring.traceability(F.lit(True), F.lit(True), F.lit(True), F.col("doc_id") % 3 == 0, F.col("part.page_start") > 0, F.trim("part.section") != "")
+    none = F.lit(None).cast("string")  # jurisdiction and effective date, which the library doesn't have
+    meta = scoring.filled_share(*[F.col(c) for c in ("title", "issuer", "country", "document_type", "source_class", "lang", "published")], none, none)
+    q = scoring.source_quality(scoring.authority(F.col("source_class")) / 100, scoring.verification(F.col("status")), scoring.source_freshness(F.col("published"), AS_OF), meta, traced)
+    return rows.select("doc_id", F.col("part.chunk").alias("chunk"), F.round(q, 6).alias("quality"), scoring.stars(q).alias("stars"))
 
 
 @query("fun7_calculators", "SELECT n_name AS market, count(*) AS n, round(sum(l_quantity * (0.2 + n_nationkey / 50.0)), 2) AS solar, round(sum(l_quantity * 0.9 * 28), 2) AS methane, round(sum(l_quantity * 0.7 * 44 / 12 * 0.8), 2) AS biochar FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name")
@@ -347,7 +370,7 @@ def fun13(s, d):
     return evidence.truth(view(s, d, "claims")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("fun15_planner", r"""SELECT id, question, CASE WHEN regexp_matches(q, 'compare|comparison|difference|versus|vs') THEN 'COMPARISON' WHEN regexp_matches(q, 'type|category|classify|kind of|form of|\bis\b.+\ban?\b') THEN 'REASONING'
+@query("fun15_planner", r"""SELECT id, question, CASE WHEN regexp_matches(q, 'compare|comparison|difference|versus| vs |vs\.') THEN 'COMPARISON' WHEN regexp_matches(q, 'type|category|classify|kind of|form of|\bis\b.+\ban?\b') THEN 'REASONING'
 WHEN regexp_matches(q, 'how|why|relationship|related|connected|connection|link') THEN 'GRAPH' WHEN regexp_matches(q, 'what is|what''s|define|definition|meaning of') THEN 'ONTOLOGY' WHEN regexp_matches(q, 'what|when|where|which|who') THEN 'SEMANTIC' ELSE 'HYBRID' END AS strategy FROM (SELECT *, lower(question) AS q FROM questions)""")
 def fun15(s, d):
     return view(s, d, "questions").select("id", "question", text.strategy(F.col("question")).alias("strategy"))
@@ -370,10 +393,30 @@ def src1(s, d):
     return table(s, d, "documents").select("doc_id", clean.alias("t")).where(F.length("t") >= 20).select("doc_id", F.length("t").alias("chars"), F.regexp_count("t", F.lit(r"[^ \t\r\n]+")).cast("long").alias("words"))
 
 
-@query("src6_bad_bytes", "SELECT m AS pattern, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '&[a-z]+;')) AS m FROM pages) GROUP BY m ORDER BY n DESC, m LIMIT 40")
+def _nested(column: str, pairs: list[tuple[str, str]]) -> str:
+    for wrong, right in pairs:
+        quoted = right.replace("'", "''")
+        column = f"replace({column}, '{wrong}', '{quoted}')"
+    return column
+
+
+@query("src6_bad_bytes", f"""SELECT m AS pattern, count(*) AS n FROM (SELECT unnest({" || ".join(f"regexp_extract_all(html, '{p}')" for p in text.MOJIBAKE)}) AS m
+FROM (SELECT replace(replace(replace(replace(replace(html, 'é', 'Ã©'), '·', 'Â·'), '&middot;', 'â€¢ '), 'ç', 'âœ“'), 'ü', 'â†’') AS html FROM pages)) GROUP BY m ORDER BY n DESC, m LIMIT 40""")
 def src6(s, d):
-    found = table(s, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("&[a-z]+;"), F.lit(0))).alias("pattern"))
-    return found.groupBy("pattern").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern").limit(40)
+    """The forty most frequent runs of text that was decoded in the wrong way, in pages some of whose letters were."""
+    broken = F.col("html")
+    for letter, wrong in (("é", "Ã©"), ("·", "Â·"), ("&middot;", "â€¢ "), ("ç", "âœ“"), ("ü", "â†’")):
+        broken = F.replace(broken, F.lit(letter), F.lit(wrong))
+    return text.bad_runs(table(s, d, "pages").select(broken.alias("html")), "html")
+
+
+@query("src6_mended", f"""SELECT page_id, md5({_nested('html', text.MENDED)}) AS digest FROM (SELECT page_id, replace(replace(replace(coalesce(html, ''), '&middot;', 'â€¢'), 'ç', 'âœ“'), 'ü', 'â†’') AS html FROM pages)""")
+def src6_mended(s, d):
+    """Pages with wrongly decoded signs put right."""
+    broken = F.coalesce("html", F.lit(""))
+    for letter, wrong in (("&middot;", "â€¢"), ("ç", "âœ“"), ("ü", "â†’")):
+        broken = F.replace(broken, F.lit(letter), F.lit(wrong))
+    return table(s, d, "pages").select("page_id", F.md5(text.mended(broken)).alias("digest"))
 
 
 @query("snk2_upsert", "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
