@@ -1,3 +1,3 @@
 
 
-from factloom.plans import answers, catalog, documents, figures, reasoning, trees, verdicts  # noqa: E402, F401
+from factloom.plans import answers, catalog, documents, figures, reasoning, trees, verdicts, works  # noqa: E402, F401

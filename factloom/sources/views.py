@@ -90,6 +90,16 @@ SELECT r.doc_id AS answer_id, CASE r.doc_id % 4 WHEN 0 THEN concat('What does ',
 FROM ({reports}) r"""
 VIEWS["asked"] = _ASKED.replace("{reports}", VIEWS["reports"])
 DUCK["asked"] = _ASKED.replace("{reports}", DUCK["reports"])
+#: The catalogue of a document library: titles that others' descriptions name, topics (joined by |), what a document supersedes (with cycles), and counts of its processing.
+_TITLE = "concat({0}.p_name, ' ', lower({0}.p_type), ' roadmap ', CAST({0}.p_partkey % 50 AS STRING))"
+VIEWS["works"] = f"""
+SELECT p.p_partkey AS doc_id, CASE WHEN p.p_partkey % 9 = 0 THEN p.p_name ELSE {_TITLE.format("p")} END AS title, CASE WHEN q.p_partkey IS NULL THEN 'Solar and wind.' ELSE concat('Builds on the ', upper({_TITLE.format("q")}), ' and net zero plans') END AS description,
+       CASE WHEN p.p_partkey % 10 = 0 THEN NULL ELSE concat('NATION_', CAST(p.p_partkey % 25 AS STRING)) END AS country, p.p_brand AS issuer, CASE p.p_partkey % 6 WHEN 0 THEN 'law' WHEN 1 THEN 'strategy' WHEN 2 THEN 'report' WHEN 3 THEN 'Decree' WHEN 4 THEN 'policy' ELSE '' END AS document_type,
+       CASE p.p_partkey % 4 WHEN 0 THEN 'government' WHEN 1 THEN 'registry' WHEN 2 THEN 'news' ELSE 'other' END AS source_class, CASE p.p_partkey % 5 WHEN 0 THEN 'published' WHEN 1 THEN 'verified' WHEN 2 THEN 'pending_review' WHEN 3 THEN 'failed' ELSE 'processing' END AS status,
+       concat_ws('|', p.p_type, p.p_brand, split_part(p.p_name, ' ', 2), CASE p.p_partkey % 5 WHEN 0 THEN 'hydrogen storage' WHEN 1 THEN 'solar pv' WHEN 2 THEN 'carbon market registry' ELSE NULL END) AS topics,
+       CASE WHEN p.p_partkey % 60 = 0 THEN p.p_partkey + 12 WHEN p.p_partkey % 6 = 0 THEN p.p_partkey - 6 ELSE NULL END AS supersedes, p.p_size % 13 AS pages, CAST(p.p_size * 171 % 9000 AS BIGINT) AS chars, p.p_size % 11 AS chunks, p.p_size % 7 AS embeddings,
+       CASE WHEN p.p_partkey % 7 = 0 THEN NULL ELSE CAST(DATE '2015-01-01' + CAST(p.p_partkey % 3000 AS INT) AS DATE) END AS published
+FROM {{part}} p LEFT JOIN {{part}} q ON q.p_partkey = p.p_partkey - 5"""
 #: Pairs of nodes of the graph that trade: suppliers of orders and the nations that they go to.
 VIEWS["trade"] = """
 SELECT DISTINCT concat('S', l.l_suppkey) AS start, concat('N', c.c_nationkey) AS target FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey"""
