@@ -100,6 +100,16 @@ SELECT p.p_partkey AS doc_id, CASE WHEN p.p_partkey % 9 = 0 THEN p.p_name ELSE {
        CASE WHEN p.p_partkey % 60 = 0 THEN p.p_partkey + 12 WHEN p.p_partkey % 6 = 0 THEN p.p_partkey - 6 ELSE NULL END AS supersedes, p.p_size % 13 AS pages, CAST(p.p_size * 171 % 9000 AS BIGINT) AS chars, p.p_size % 11 AS chunks, p.p_size % 7 AS embeddings,
        CASE WHEN p.p_partkey % 7 = 0 THEN NULL ELSE CAST(DATE '2015-01-01' + CAST(p.p_partkey % 3000 AS INT) AS DATE) END AS published
 FROM {{part}} p LEFT JOIN {{part}} q ON q.p_partkey = p.p_partkey - 5"""
+#: A registry of entities with a few aliases, and facts about suppliers with literal objects: names, phrases, amounts, known nations, unknown subjects.
+VIEWS["registry"] = """
+SELECT concat('E', n_nationkey + 1) AS entity_id, n_name AS name, 'country' AS type, concat('the nation of ', n_name) AS alias, concat('COUNTRY_', n_name) AS candidate, CAST(1 AS BIGINT) AS occurrences FROM {nation}
+UNION ALL SELECT concat('E', s_suppkey + 100), s_name, 'organization', concat('supplier no ', s_suppkey), concat('INITIATIVE_SUPPLIER_PROGRAMME_', s_suppkey), CAST(s_suppkey % 3 AS BIGINT) FROM {supplier}"""
+VIEWS["literal_facts"] = """
+SELECT l.l_orderkey * 10 + l.l_linenumber AS rel_id, concat('E', l.l_suppkey + CASE WHEN l.l_orderkey % 40 = 0 THEN 100000000 ELSE 100 END) AS subject_id, CASE l.l_linenumber WHEN 1 THEN 'supplies' WHEN 2 THEN 'runs the' ELSE 'reports' END AS predicate,
+       CASE l.l_linenumber WHEN 1 THEN p.p_name WHEN 2 THEN concat('expanding ', lower(p.p_type), ' energy Programme ', CAST(p.p_partkey % 30 AS STRING)) WHEN 3 THEN concat('USD ', CAST(CAST(l.l_quantity AS INT) AS STRING), ' million')
+         WHEN 4 THEN concat('Supplier  no ', CAST(l.l_partkey % 90 AS STRING)) WHEN 5 THEN concat('nation-', CAST(l.l_partkey % 25 AS STRING)) WHEN 6 THEN concat('It includes ', p.p_name, ' and much more.') ELSE CASE WHEN l.l_suppkey % 2 = 0 THEN 'N/A' ELSE concat('Supplier Programme ', CAST(l.l_suppkey % 50 AS STRING)) END END AS object,
+       CASE WHEN l.l_linenumber = 3 THEN 'currency' ELSE NULL END AS value_type, (l.l_orderkey % 10) / 10.0E0 AS confidence, l.l_orderkey AS source
+FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey"""
 #: Pairs of nodes of the graph that trade: suppliers of orders and the nations that they go to.
 VIEWS["trade"] = """
 SELECT DISTINCT concat('S', l.l_suppkey) AS start, concat('N', c.c_nationkey) AS target FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey"""
