@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (one of our own in tests); cuts the lineage of loops."""
-    spark: SparkSession = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors see."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="factloom-")  # one machine: a folder of our own
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/factloom/step-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder; cuts the lineage of loops."""
+    path = f"{shared_root(df.sparkSession)}/factloom/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

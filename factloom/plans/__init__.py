@@ -1,3 +1,3 @@
 
 
-from factloom.plans import answers, catalog, discovery, documents, figures, reasoning, trees, verdicts, works  # noqa: E402, F401
+from factloom.plans import answers, catalog, comparisons, discovery, documents, figures, reasoning, trees, verdicts, works  # noqa: E402, F401

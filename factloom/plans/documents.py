@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import chunking
-from factloom.plans.catalog import query, view
+from factloom.plans.catalog import query, table, view
+from factloom.streaming import processing
 
 _SMALL = "['" + "', '".join(chunking.SMALL_WORDS) + "']"
 _VERBS = "|".join(chunking.SENTENCE_WORDS)
@@ -69,7 +70,7 @@ def win5(s, d):
     return chunking.context_blocks(view(s, d, "reports")).withColumn("path", F.array_join("path", " > "))
 
 
-def chunk_sql(sizes: chunking.Sizes) -> str:
+def chunk_sql(sizes: chunking.Sizes, source: str = "reports", content: str = "text") -> str:
     """Chunks by recursion over pages and paragraphs; for texts whose paragraphs are no longer than sizes.most."""
     trim = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
     mark = r"(?i)(?:^|\n)\s*--\s*([0-9]+)\s+of\s+([0-9]+)\s*--\s*(?:\n|$)"
@@ -79,14 +80,14 @@ def chunk_sql(sizes: chunking.Sizes) -> str:
     words = r"string_split_regex(block, '\s+')"
     return rf"""
 WITH RECURSIVE t AS (
-  SELECT doc_id, string_split_regex({plain("text")}, '{mark}') AS parts, regexp_extract_all({plain("text")}, '{mark}', 1) AS numbers FROM reports
+  SELECT doc_id, string_split_regex({plain(content)}, '{mark}') AS parts, regexp_extract_all({plain(content)}, '{mark}', 1) AS numbers FROM {source}
 ), u AS (
   SELECT doc_id, unnest(CASE WHEN len(numbers) = 0 THEN [{{'n': NULL::BIGINT, 'x': parts[1]}}]
     ELSE list_transform(range(1, len(numbers) + 1), lambda i: {{'n': nullif(numbers[i]::BIGINT, 0), 'x': CASE WHEN i = 1 THEN parts[1] || {gap} ELSE '' END || parts[i + 1]}}) END, recursive := true), generate_subscripts(CASE WHEN len(numbers) = 0 THEN ['x'] ELSE numbers END, 1) AS pos FROM t
 ), pg AS (
   SELECT doc_id, n, body, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM (SELECT doc_id, n, {plain("x")} AS body, pos FROM u) WHERE body <> ''
 ), mg AS (
-  SELECT doc_id, 0::BIGINT AS i, []::STRUCT(f BIGINT, l BIGINT, x VARCHAR)[] AS done, false AS waiting FROM reports
+  SELECT doc_id, 0::BIGINT AS i, []::STRUCT(f BIGINT, l BIGINT, x VARCHAR)[] AS done, false AS waiting FROM {source}
   UNION ALL
   SELECT doc_id, i, made, length(made[-1].x) < {sizes.least}
   FROM (SELECT p.doc_id, p.i, list_append(CASE WHEN waiting THEN done[:-2] ELSE done END, {{'f': CASE WHEN waiting THEN done[-1].f ELSE p.n END, 'l': p.n, 'x': CASE WHEN waiting THEN done[-1].x || {gap} ELSE '' END || p.body}}) AS made
@@ -129,3 +130,25 @@ FROM ch JOIN gr ON gr.doc_id = ch.doc_id AND gr.g = ch.g"""
 def win6(s, d):
     """Every report cut into chunks: pages, sections, sizes and overlap."""
     return chunking.chunked(view(s, d, "reports"))
+
+
+_CHANGED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Annex New' || chr(10) || chr(10) || text ELSE text END AS text FROM reports"
+
+
+@query("snk1_reprocessed", chunk_sql(chunking.Sizes(), "changed").replace("WITH RECURSIVE", f"WITH RECURSIVE changed AS ({_CHANGED}),", 1))
+def snk1(s, d):
+    """The chunk store after all reports were processed and then every third again with a new text, every seventh with none (which fails and keeps its chunks)."""
+    docs = view(s, d, "reports").select("doc_id", "text")
+    path = processing.new_store(s)
+    processing.reprocess(docs, path)
+    again = docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("Annex New\n\n"), "text"))
+    processing.reprocess(again.unionByName(docs.where("doc_id % 7 = 0 and doc_id % 3 <> 0").withColumn("text", F.lit("too short"))), path)
+    return processing.stored(s, path)
+
+
+@query("str1_job_decisions", """SELECT event_id, doc_id, CASE WHEN kind <> 'request' THEN kind WHEN row_number() OVER (PARTITION BY doc_id, ended, kind ORDER BY ts, event_id) = 1 THEN 'accepted' ELSE 'refused' END AS decision
+FROM (SELECT *, count(*) FILTER (kind <> 'request') OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS ended FROM (SELECT event_id, user_id % 500 AS doc_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'request' END AS kind FROM events))""")
+def str1(s, d):
+    """Requests to process a document: one active job at a time, others are refused until it has ended."""
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("request")
+    return processing.decisions(table(s, d, "events").select("event_id", (F.col("user_id") % 500).alias("doc_id"), "ts", kind.alias("kind")))
