@@ -110,6 +110,13 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS rel_id, concat('E', l.l_suppkey + C
          WHEN 4 THEN concat('Supplier  no ', CAST(l.l_partkey % 90 AS STRING)) WHEN 5 THEN concat('nation-', CAST(l.l_partkey % 25 AS STRING)) WHEN 6 THEN concat('It includes ', p.p_name, ' and much more.') ELSE CASE WHEN l.l_suppkey % 2 = 0 THEN 'N/A' ELSE concat('Supplier Programme ', CAST(l.l_suppkey % 50 AS STRING)) END END AS object,
        CASE WHEN l.l_linenumber = 3 THEN 'currency' ELSE NULL END AS value_type, (l.l_orderkey % 10) / 10.0E0 AS confidence, l.l_orderkey AS source
 FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey"""
+#: Raw evidence of questions in six streams, from events: predicates affirmed and negated in several ways, repeated records, missing confidences.
+VIEWS["streams"] = """
+SELECT user_id % 150 AS question_id, CASE event_id % 6 WHEN 0 THEN 'retrieved_chunks' WHEN 1 THEN 'document_evidence' WHEN 2 THEN 'graph_evidence' WHEN 3 THEN 'inferred_relationships' WHEN 4 THEN 'inferred_evidence' ELSE 'ontology_evidence' END AS stream, event_id AS ord,
+       CASE WHEN event_id % 17 = 0 THEN 'graph' ELSE NULL END AS source_type, concat('C', user_id % 3) AS subject, CASE WHEN (user_id % 150) % 3 <> 0 THEN 'is a' WHEN event_type = 'error' THEN 'does not support' WHEN event_type = 'purchase' THEN 'supports' WHEN event_type = 'view' THEN 'is a' WHEN event_type = 'click' THEN 'Located-In' ELSE 'opposes' END AS predicate,
+       CASE WHEN event_type = 'click' THEN concat('P', event_id % 2) ELSE concat('O', event_id % 5) END AS object, CASE WHEN event_id % 23 = 0 THEN 'affirms' ELSE NULL END AS polarity, event_id % 29 = 0 AND (user_id % 150) % 3 = 0 AS negated, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value / 150.0E0 - 0.1E0 END AS confidence,
+       CASE WHEN event_id % 6 < 2 THEN event_id % 4 ELSE NULL END AS document_id, CASE WHEN event_id % 6 = 2 THEN event_id % 3 ELSE NULL END AS relationship_id, CASE WHEN event_id % 6 IN (3, 4) THEN 'TRANSITIVE' ELSE NULL END AS rule
+FROM {events}"""
 #: Pairs of nodes of the graph that trade: suppliers of orders and the nations that they go to.
 VIEWS["trade"] = """
 SELECT DISTINCT concat('S', l.l_suppkey) AS start, concat('N', c.c_nationkey) AS target FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey"""
