@@ -37,7 +37,7 @@ def reached(edges: DataFrame, start: str, depth: int = 2) -> DataFrame:
 
     Each level joins only the frontier and drops what was visited; levels are written tables.
     """
-    pairs = undirected(edges).select("node", "other").distinct()
+    pairs = written(undirected(edges).select("node", "other").distinct())
     visited = written(edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int"))
     frontier = visited
     for d in range(1, depth + 1):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Topics and the terms that name them, first match wins.
@@ -71,14 +75,29 @@ def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(marked, "\u0001")).alias("pos", "sentence")).where(F.trim("sentence") != "")
 
 
+def kept_lines(text: str) -> list[tuple[int, str]]:
+    """(place, line) of the lines that are no page number, no repeat of the line before and no repeated header (a short line without end mark)."""
+    lines = [x.strip(" ") for x in text.split("\n")]
+    often, out = Counter(lines), []
+    for pos, line in enumerate(lines):
+        number = re.fullmatch(r"(?i:page )?[0-9]+", line)
+        header = often[line] >= 2 and len(line) <= 140 and not line.endswith((".", "!", "?")) and len(re.split(" +", line)) <= 16
+        if line and not number and not header and not (pos and lines[pos - 1] == line):
+            out.append((pos, line))
+    return out
+
+
 def cleaned_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, lines kept: no page numbers, no consecutive duplicates, no repeated headers (short lines without end mark)."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", "pos", F.trim("raw").alias("line"))
-    same = Window.partitionBy("doc_id", "line")
-    lines = lines.withColumn("often", F.count("*").over(same)).withColumn("before", F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos")))
-    number = F.col("line").rlike(r"^(?i:page )?[0-9]+$")
-    header = (F.col("often") >= 2) & (F.length("line") <= 140) & ~F.col("line").rlike("[.!?]$") & (F.size(F.split("line", " +")) <= 16)
-    return lines.where(~number & ~header & (F.col("line") != "") & F.coalesce(F.col("line") != F.col("before"), F.lit(True))).select("doc_id", "pos", "line")
+    """doc_id, pos, line of kept_lines() of docs(doc_id, text); what is kept depends on one document only, so nothing is shuffled."""
+    def run(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                found = kept_lines(text.as_py() or "")
+                for at in range(0, len(found), 4096):
+                    part = found[at : at + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(doc, len(part)).cast(pa.int64()), pa.array([p for p, _ in part], pa.int32()), pa.array([x for _, x in part], pa.string())], names=["doc_id", "pos", "line"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, line string")
 
 
 def topic(text: Column) -> Column:

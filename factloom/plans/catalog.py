@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scoring
 from factloom.operators import evidence, graph, retrieval, text
+from factloom.operators.numbering import numbered
 from factloom.sources.views import AS_OF, table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,8 +55,10 @@ ORDER BY round(similarity, 9) DESC, doc_id LIMIT 40""")
 def evidence_topk(s, d):
     """Access filter, vector top-k, join with documents and evidence rank (TOP1, JON1, FLT1, TOP2)."""
     docs = view(s, d, "library").where(retrieval.access())
-    hits = docs.join(table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id").select("doc_id", "embedding"), "doc_id")
-    near = retrieval.vector_topk(hits.withColumn("vec_id", F.col("doc_id")), _query_vector(s, d), 40)
+    # ids and vectors only until the best are known; then those few rows fetch their documents
+    vectors = table(s, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "embedding")
+    best = retrieval.vector_topk(vectors, _query_vector(s, d), 40).select(F.col("vec_id").alias("doc_id"), "similarity")
+    near = docs.join(F.broadcast(best), "doc_id")
     return retrieval.ranked(near, AS_OF).select("doc_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
@@ -232,8 +235,8 @@ def agg27(s, d):
 
 @query("win7_entity_ids", "SELECT id, 'ENTITY_' || lpad(CAST(row_number() OVER (ORDER BY kind, id) AS VARCHAR), 6, '0') AS entity_id FROM entities")
 def win7(s, d):
-    """Sequential ids in a fixed order; the window runs over the registry, not over documents."""
-    return view(s, d, "entities").select("id", F.format_string("ENTITY_%06d", F.row_number().over(Window.orderBy("kind", "id"))).alias("entity_id"))
+    """Sequential ids in a fixed order, dealt out by ranges of it."""
+    return numbered(view(s, d, "entities").select("id", "kind"), ["kind", "id"], "n").select("id", F.format_string("ENTITY_%06d", "n").alias("entity_id"))
 
 
 @query("top7_similar", "SELECT b.doc_id, (CASE WHEN a.country = b.country THEN 2 ELSE 0 END + CASE WHEN a.issuer = b.issuer THEN 2 ELSE 0 END + CASE WHEN a.document_type = b.document_type THEN 1 ELSE 0 END) AS score FROM library b CROSS JOIN (SELECT * FROM library WHERE doc_id = 0) a WHERE b.doc_id <> 0 AND (a.country = b.country OR a.issuer = b.issuer OR a.document_type = b.document_type) ORDER BY 2 DESC, 1 LIMIT 8")
@@ -317,7 +320,9 @@ def txt13(s, d):
 @query("txt20_embedding_text", r"SELECT doc_id, sha256(substr(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), 1, 24000)) AS checksum, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 50) AS BIGINT) AS batch FROM documents")
 def txt20(s, d):
     clean = F.substring(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), 1, 24000)
-    return table(s, d, "documents").select("doc_id", F.sha2(clean, 256).alias("checksum"), F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 50).alias("batch"))
+    rows = numbered(table(s, d, "documents").select("doc_id", "source", F.sha2(clean, 256).alias("checksum")), ["source", "doc_id"], "n")
+    first = rows.groupBy("source").agg(F.min("n").alias("first"))
+    return rows.join(first, rows["source"].eqNullSafe(first["source"])).select("doc_id", "checksum", F.floor((F.col("n") - F.col("first")) / 50).alias("batch"))
 
 
 _LIMITED = "CASE WHEN length(t) <= 60000 THEN t ELSE substr(t, 1, 45000) || chr(10) || chr(10) || '[DOCUMENT MIDDLE OMITTED]' || chr(10) || chr(10) || right(t, 15000) END"

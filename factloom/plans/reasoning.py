@@ -1,4 +1,6 @@
-"""Queries on graph reasoning, document truth, lookups and dashboards, each with SQL written from the survey's row.
+"""Queries on graph reasoning, document truth, lookups and dashboards, each with SQL that must give the same rows.
+
+Some of them are short forms on single tables; the whole rules are in answers, figures, verdicts, claims, works and knowledge.
 
 Nulls: a null confidence passes filters and counts as 1 in products; null names compare as unequal. Ties always end in an
 id, so results are the same in every run. Empty tables give no rows, or one row of zeros for plain totals.
