@@ -117,6 +117,12 @@ SELECT user_id % 150 AS question_id, CASE event_id % 6 WHEN 0 THEN 'retrieved_ch
        CASE WHEN event_type = 'click' THEN concat('P', event_id % 2) ELSE concat('O', event_id % 5) END AS object, CASE WHEN event_id % 23 = 0 THEN 'affirms' ELSE NULL END AS polarity, event_id % 29 = 0 AND (user_id % 150) % 3 = 0 AS negated, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value / 150.0E0 - 0.1E0 END AS confidence,
        CASE WHEN event_id % 6 < 2 THEN event_id % 4 ELSE NULL END AS document_id, CASE WHEN event_id % 6 = 2 THEN event_id % 3 ELSE NULL END AS relationship_id, CASE WHEN event_id % 6 IN (3, 4) THEN 'TRANSITIVE' ELSE NULL END AS rule
 FROM {events}"""
+#: Texts of policies in plain sentences, from parts: named and carried subjects, several predicates, lists, protected phrases and figures.
+VIEWS["policies"] = """
+SELECT p_partkey AS doc_id, concat(CASE p_partkey % 4 WHEN 0 THEN 'The strategy supports ' WHEN 1 THEN 'Ministry of Energy requires ' WHEN 2 THEN 'the small plan of ' ELSE 'National Grid targets ' END, p_name, ', ', lower(p_type), ' storage, and research and development; aims to add ',
+       CAST(p_size AS STRING), ' MW by ', CAST(2025 + p_partkey % 9 AS STRING), '; with ', lower(p_brand), ' meters. ', CASE p_partkey % 3 WHEN 0 THEN 'The policy will reduce emissions by ' WHEN 1 THEN 'It will cut them by ' ELSE 'And so on, by ' END, CAST(p_size AS STRING), '%. ',
+       CASE WHEN p_partkey % 5 = 0 THEN 'It is late. It is late. ' ELSE '' END, 'Pakistan mobilizes USD ', CAST(p_size AS STRING), ' million for oil and gas, ', p_name, ' or wind parks! Parks of ', lower(p_type), ' • including roofs, walls and grids.') AS text
+FROM {part}"""
 #: Pairs of nodes of the graph that trade: suppliers of orders and the nations that they go to.
 VIEWS["trade"] = """
 SELECT DISTINCT concat('S', l.l_suppkey) AS start, concat('N', c.c_nationkey) AS target FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey"""
