@@ -13,8 +13,11 @@ whole sets, so none is taken unverified, up to equality of 32-bit hashes within
 
 Where many near copies share a key, pairs would grow with the square of the crowd. So each key's members are compared
 with one of them first, its least, or in keys of more than CROWD members the one that meets most others over all such keys
-(the text that the others were copied from, if it is there). Of what is then connected only members of different
-components are compared in pairs: that connects the same components, whichever member came first.
+(the text that the others were copied from, if it is there). What that leaves in different components is pruned before any pair
+is made: of a set only what sets of other components hold as well can be shared with them, which bounds the sizes that a
+partner may have; a member without a partner of such a size in its key goes, which leaves others with less to share, so this
+is repeated. A passage in common, however many texts hold it, brings nothing together this way. The pairs that are left are
+met once each and verified. That connects the same components, whichever member came first.
 
 Defined cases: letters are compared without ASCII case; a text of fewer words than a shingle is one shingle; null, empty
 and blank texts are one class; rows are told apart by shingle set and doc_id, so of a component one row stays, that of the
@@ -198,23 +201,39 @@ def with_pivots(held: DataFrame) -> DataFrame:
     return held.join(small_side(pivots), "key", "left").withColumn("least", F.coalesce("central", "least")).drop("central", "met")
 
 
-def refined(crowds: DataFrame, sets: DataFrame) -> DataFrame:
-    """crowds(key, node, n, root) under longer keys, which similar members of a key still share.
+def with_reach(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows(key, node, n, root) with reach: the greatest set that a node can be similar to across roots.
 
-    Within a key the prefix rule holds again, with an order of its own: by the number of members that hold a shingle. What
-    only one holds comes first and can't be shared, so texts that have but a passage in common get no key at all.
+    Only shingles that nodes of another root hold as well can be shared. If a node of n shingles has s of those, a set of m can have a
+    similarity of 0.8 with it only if s is at least 4/9 of n + m.
     """
     top, under = SIMILAR
-    crowds = write_shared(crowds, "near-crowds")
-    held = sets.select("node", F.array_distinct("shingles").alias("shingles")).join(crowds.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    each = crowds.join(held, "node").select("key", "node", "n", "root", F.size("shingles").alias("own"), F.explode("shingles").alias("shingle"))
+    live = write_shared(rows.groupBy("node").agg(F.min("root").alias("root"), F.min("n").alias("n")), "near-live")
+    each = sets.select("node", "shingles").join(small_side(live.select("node", "root")), "node").dropDuplicates(["node"]).select("node", "root", F.explode(F.array_distinct("shingles")).alias("shingle"))
     each = write_shared(each, "near-each")
-    often = each.groupBy("key", "shingle").agg(F.count("*").alias("met")).where("met > 1")
-    order = F.sort_array(F.collect_list(F.struct("met", "shingle"))).alias("order")
-    shared = each.join(often, ["key", "shingle"]).groupBy("key", "node", "n", "root", "own").agg(order)
-    reach = F.col("n") - F.ceil(F.col("n") * top / under) + 1 - (F.col("own") - F.size("order"))
-    chosen = F.explode(F.slice("order", 1, F.greatest(F.lit(0), reach).cast("int"))).alias("item")
-    return shared.select("key", "node", "n", "root", chosen).select(F.xxhash64("key", "item.shingle").alias("key"), "node", "n", "root")
+    shared = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    held = each.join(shared, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("s"))
+    return rows.join(small_side(write_shared(held, "near-shared")), "node").withColumn("reach", F.floor((top + under) * F.col("s") / top - F.col("n")))
+
+
+def pruned(rows: DataFrame, sets: DataFrame, rounds: int = 3) -> DataFrame:
+    """rows(key, node, n, root, reach) that may have a partner of another root in their key, a written table.
+
+    A partner of a set of n shingles has from 4/5 n to 5/4 n, is within its reach and has it within reach. What can't have one goes, which may leave
+    others without theirs, so this is done a few times; stopping early only leaves more pairs to test.
+    """
+    top, under = SIMILAR
+    for _ in range(rounds):
+        near = with_reach(rows, sets).where(under * F.col("reach") >= top * F.col("n"))
+        near = write_shared(near, "near-reach")
+        sides = near.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least_n"), F.max("reach").alias("most")).where("low < high")
+        kept = near.join(sides, "key").where("least_n <= reach and most >= n").select("key", "node", "n", "root", "reach")
+        before, rows = rows, write_shared(kept, "near-kept")
+        left = rows.count()
+        if not left or 10 * left > 9 * before.count():
+            return rows
+        rows = rows.drop("reach")
+    return with_reach(rows, sets) if "reach" not in rows.columns else rows
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -234,10 +253,13 @@ def links(sets: DataFrame) -> DataFrame:
     rooted = held.select("key", "node", "n").join(small_side(tree), F.col("node") == F.col("member"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = write_shared(rooted, "near-rooted")
     split = write_shared(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met")).where("low < high").select("key", "met"), "near-split")
-    few = rooted.join(split.where(F.col("met") <= CROWD), "key", "left_semi")
-    rooted = write_shared(few.union(refined(rooted.join(split.where(F.col("met") > CROWD), "key", "left_semi"), sets)), "near-few")
-    a, b = [rooted.select("key", F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("root").alias(f"{x}_root")) for x in "ab"]
-    across = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & alike(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+    rooted = pruned(rooted.join(split.select("key"), "key", "left_semi"), sets)
+    held = rooted.groupBy("node").agg(F.collect_set("key").alias("keys"))  # few keys a node
+    rooted = rooted.join(held, "node")
+    a, b = [rooted.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "root", "reach", "keys")]) for x in "ab"]
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & alike(F.col("a_n"), F.col("b_n")) & (F.col("a_n") <= F.col("b_reach")) & (F.col("b_n") <= F.col("a_reach"))
+    once = F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys"))  # a pair is met under its least key only
+    across = a.join(b, "key").where(apart & once).select("a", "b")
     return stars.union(verified(write_shared(across, "near-pairs"), sets))
 
 
