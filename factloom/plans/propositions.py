@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.operators import factquality as q
 from factloom.operators import propositions as p
 from factloom.operators import text
 from factloom.plans.catalog import query, view
@@ -77,3 +78,47 @@ def txt15(s, d):
     """What the valid propositions of all policies say of each subject, by predicate."""
     rows = p.propositions(view(s, d, "policies")).where("valid")
     return rows.groupBy("subject", F.upper(F.regexp_replace("predicate", r"\s+", "_")).alias("predicate")).agg(F.count("*").alias("n"), F.count_distinct("object").alias("n_objects"), F.max("confidence").alias("best"), F.count_if(F.col("confidence") >= 0.9).alias("n_sure"), F.count("number").alias("n_values"))
+
+
+def _any(words: list[str], test: str) -> str:
+    return "(" + " OR ".join(test.format(w.replace("'", "''")) for w in words) + ")"
+
+
+_LINES = r"""lines AS (SELECT doc_id, nth, x AS value, trim(regexp_replace(regexp_replace(lower(x), '[“”‘’"''`]', '', 'g'), '\s+', ' ', 'g')) AS low, string_split(x, ' ') AS ws
+  FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS nth FROM reports))"""
+_FAULTS = rf"""WITH {_LINES}, t AS (
+  SELECT *, regexp_matches(value, '{q.VERB}') AS verb, regexp_matches(value, '{q.FIGURE}') AS figure FROM lines
+), f AS (
+  SELECT *, {_any(q.METADATA, "starts_with(low, '{}')")} OR low = '' AS metadata, regexp_matches(value, '(?i)^(?:{"|".join(q.HEADINGS)})') OR (len(ws) <= 8 AND NOT regexp_matches(value, '[.!?]$') AND NOT verb
+           AND len(list_filter(list_transform(ws, lambda w: regexp_replace(w, '[^A-Za-z0-9-]', '', 'g')), lambda w: NOT (w = '' OR regexp_matches(w, '^[A-Z0-9]') OR length(w) <= 3))) = 0) AS heading,
+         {_any(q.INTERNAL, "contains(low, '{}')")} AS internal, regexp_matches(value, '{q.QUESTION}') AS question, len(regexp_extract_all(value, '[|]')) >= 2 OR (len(regexp_extract_all(value, '{q.NUMBER}')) >= 3 AND len(ws) <= 12 AND NOT verb) AS table_row,
+         len(ws) < 4 OR value[-1] IN (',', ':', ';', '-', '–', '—', '(', '/') OR (len(ws) < 8 AND NOT verb AND NOT figure) AS fragment, low IN ('english', 'federal', 'global', 'internal', 'strategy', 'other', 'unknown', 'not available') OR length(regexp_replace(low, '[^a-z]', '', 'g')) < 5 AS little
+  FROM t
+), s AS (
+  SELECT doc_id, nth, CASE WHEN value = '' THEN 0 ELSE least(100, greatest(0, 100 - CASE WHEN metadata THEN 90 ELSE 0 END - CASE WHEN heading THEN 70 ELSE 0 END - CASE WHEN internal THEN 75 ELSE 0 END - CASE WHEN question THEN 80 ELSE 0 END - CASE WHEN table_row THEN 45 ELSE 0 END
+           - CASE WHEN fragment THEN 45 ELSE 0 END - CASE WHEN little THEN 60 ELSE 0 END + CASE WHEN verb THEN 10 ELSE 0 END + CASE WHEN figure THEN 5 ELSE 0 END)) END AS score,
+         CASE WHEN value = '' THEN 'empty_statement' ELSE array_to_string(list_filter([CASE WHEN metadata THEN 'metadata' END, CASE WHEN heading THEN 'heading' END, CASE WHEN internal THEN 'internal_test_content' END, CASE WHEN question THEN 'question' END,
+           CASE WHEN table_row THEN 'table_row' END, CASE WHEN fragment THEN 'fragment' END, CASE WHEN little THEN 'low_information' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM f
+)"""
+
+
+def _lines(s, d):
+    rows = view(s, d, "reports").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    return q.judged(rows, "line").drop("line")
+
+
+@query("flt9_fact_quality", f"{_FAULTS} SELECT doc_id, nth, score, score >= 45 AS accepted, reasons FROM s")
+def flt9(s, d):
+    """Every line of every report as a fact: points, and what speaks against it."""
+    return _lines(s, d)
+
+
+@query("flt9_rejections", f"{_FAULTS} SELECT unnest(string_split(reasons, ',')) AS reason, count(*) AS n FROM s WHERE score < 45 GROUP BY 1")
+def flt9_rejections(s, d):
+    return q.rejections(_lines(s, d))
+
+
+@query("flt10_validity", f"SELECT coalesce(nullif(missing, ''), 'valid') AS reason, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_SQL}) GROUP BY 1")
+def flt10(s, d):
+    """Propositions by what they lack."""
+    return p.propositions(view(s, d, "policies")).groupBy(F.coalesce(F.nullif("missing", F.lit("")), F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))

@@ -61,3 +61,18 @@ def test_repeated_sentences_go_on_with_their_subject(found):
 
 def test_no_texts(spark):
     assert propositions.propositions(spark.createDataFrame(TEXTS, "doc_id long, text string").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("statement", "score", "reasons"),
+    [
+        ("The programme adds 30 MW and includes storage for many homes.", 100, ""), ("Country: Oman", 0, "metadata,heading,fragment"), ("Executive summary", 0, "heading,fragment"), ("Is it a market for solar power today?", 30, "question"),
+        ("10 20 30 capacity values", 60, "table_row"), ("a | b | c with many words in this row of cells", 55, "table_row"), ("This is a synthetic test document of some length.", 35, "internal_test_content"), ("wind and solar,", 55, "fragment"), ("Global", 0, "heading,fragment,low_information"), ("12345", 0, "heading,fragment,low_information"),
+        (None, 0, "empty_statement"), (" \t", 0, "empty_statement"),
+    ],
+)
+def test_quality_of_facts(spark, statement, score, reasons):
+    from factloom.operators import factquality
+
+    found = factquality.judged(spark.createDataFrame([(statement,)], "s string"), "s").first()
+    assert (found.score, found.reasons, found.accepted) == (score, reasons, score >= 45)
