@@ -102,3 +102,14 @@ def test_numbers_have_no_gaps(spark):
     rows = spark.range(5_000).selectExpr("id", "id % 7 AS g").repartition(6)
     assert sorted((r.g, r.id, r.n) for r in numbering.numbered(rows, ["g", "id"], "n").collect()) == [(g, k, n) for n, (g, k) in enumerate(sorted((k % 7, k) for k in range(5_000)), 1)]
     assert numbering.numbered(rows.limit(0), ["id"], "n").count() == 0
+
+
+def test_pairs_of_few_ends_with_many_edges_share_their_levels(spark, monkeypatch):
+    """60 starts and 3 targets with 80 further neighbours each: written rows follow nodes and edges, not pairs times edges."""
+    edges = [(f"s{k}", f"t{k % 3}", k) for k in range(60)] + [(f"x{k}", f"t{k % 3}", 100 + k) for k in range(240)] + [(f"t{k}", "root", 900 + k) for k in range(3)]
+    pairs, rows = [(f"s{k}", f"t{j}") for k in range(60) for j in range(3)], []
+    real = paths.written
+    monkeypatch.setattr(paths, "written", lambda df: rows.append((out := real(df)).count()) or out)
+    found = {(r.start, r.target): (r.path, r.via) for r in paths.shortest(graph(spark, edges), spark.createDataFrame(pairs, "start string, target string")).collect()}
+    assert found == {p: walk(edges, *p) for p in pairs}
+    assert max(rows) < 1_500
