@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import text as texts
+from factloom.operators.graph import written
 
 #: Other names of topics, scales of amounts, and the pattern of an amount of money (with the space after it).
 TOPIC_NAMES = {
@@ -86,11 +87,17 @@ def facts(evidence: DataFrame) -> DataFrame:
 
 def merged(found: DataFrame) -> DataFrame:
     """entity, topic, fingerprint, statement, strength, n_merged, documents, first (place of the first) of facts that say the same."""
-    rows = found.withColumn("statement", _normalised(F.col("statement"))).where(F.col("statement") != "").withColumn("topic", topic_name(F.col("topic")))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("statement"))).withColumn("place", F.struct("doc_id", "nth"))
-    best = F.struct("evidence_score", F.length("statement").alias("size"), (-F.col("doc_id")).alias("d"), (-F.col("nth")).alias("n"))
-    kept = F.max_by(F.struct("statement", "evidence_score", "semantic_score"), best).alias("kept")
-    out = rows.groupBy("entity", "topic", "fingerprint").agg(kept, F.count("*").alias("n_merged"), F.sort_array(F.collect_set("doc_id")).alias("documents"), F.min("place").alias("first"))
+    # facts in the same words are one before these are normalised, which takes most of the time
+    order = F.struct("evidence_score", (-F.col("doc_id")).alias("d"), (-F.col("nth")).alias("n"))
+    same = found.groupBy("entity", "topic", "statement").agg(
+        F.max_by(F.struct("evidence_score", "semantic_score", "doc_id", "nth"), order).alias("b"), F.count("*").alias("n"), F.collect_set("doc_id").alias("docs"), F.min(F.struct("doc_id", "nth")).alias("place")
+    )
+    rows = same.withColumn("statement", _normalised(F.col("statement"))).where(F.col("statement") != "").withColumn("topic", topic_name(F.col("topic")))
+    rows = rows.withColumn("fingerprint", fingerprint(F.col("statement")))
+    best = F.struct("b.evidence_score", F.length("statement").alias("size"), (-F.col("b.doc_id")).alias("d"), (-F.col("b.nth")).alias("n"))
+    kept = F.max_by(F.struct("statement", "b.evidence_score", "b.semantic_score"), best).alias("kept")
+    documents = F.sort_array(F.array_distinct(F.flatten(F.collect_list("docs"))))
+    out = rows.groupBy("entity", "topic", "fingerprint").agg(kept, F.sum("n").alias("n_merged"), documents.alias("documents"), F.min("place").alias("first"))
     strength = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("kept.evidence_score") * 0.6 + F.col("kept.semantic_score") * 0.4))
     return out.select("entity", "topic", "fingerprint", F.col("kept.statement").alias("statement"), strength.alias("strength"), "n_merged", "documents", "first")
 
@@ -107,6 +114,8 @@ def matrix(one: DataFrame, entities: list[str] | None = None) -> DataFrame:
     """
     if entities is not None:
         one = one.where(F.col("entity").isin(entities))
+    # read four times below, so the facts are made once
+    one = written(one)
     strongest = F.max_by(F.struct("statement", "strength"), F.struct("strength", (-F.col("first.doc_id")).alias("d"), (-F.col("first.nth")).alias("n"))).alias("s")
     cells = one.groupBy("entity", "topic").agg(strongest, F.count("*").alias("n_facts"))
     figures = one.select("entity", "topic", F.explode_outer(numbers(F.col("statement"))).alias("x")).groupBy("entity", "topic").agg(F.array_join(F.sort_array(F.collect_set("x")), ",").alias("numbers"))
