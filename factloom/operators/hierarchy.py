@@ -2,8 +2,9 @@
 
 links(child, parent, ord): ord is the place of a child among its siblings. A child has one parent at most.
 
-The closure is made by doubling: who is n steps up and who is n steps up from there give who is up to 2n steps up, so a tree
-of depth d takes log2(d) joins. Each round is a written table.
+The closure is made by doubling: who is exactly n steps up and who is up to n steps up from there give who is n to 2n steps up,
+so a tree of depth d takes log2(d) joins and each of its rows is made once. Each round is a written table, and the rounds
+together are the closure; only where a node has several parents or is its own ancestor are they merged by least depth.
 
 Defined cases: nodes of a cycle, and those below one, have each other node once, at its nearest depth, and never themselves; a
 null parent is none; repeated links count once; empty tables give no rows. Pre-order numbers need trees (no cycles).
@@ -19,17 +20,27 @@ from factloom.operators.numbering import numbered
 
 
 def ancestors(links: DataFrame) -> DataFrame:
-    """node, ancestor, depth (1 for the parent) of all nodes; a written table."""
+    """node, ancestor, depth (1 for the parent) of all nodes; written tables."""
     up = links.where("child is not null and parent is not null and child <> parent").groupBy(F.col("child").alias("node"), F.col("parent").alias("ancestor")).agg(F.lit(1).alias("depth"))
-    found, size = written(up), -1
+    jump, reach = written(up), 1  # who is exactly `reach` steps up
+    found, plain = jump, jump.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
     while True:
-        n = found.count()
-        if n == size:
-            return found
-        size = n
         onward = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
-        further = found.join(onward, "ancestor").where("node <> far").select("node", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        found = written(found.unionByName(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        further = written(jump.select("node", "ancestor").join(onward, "ancestor").select("node", F.col("far").alias("ancestor"), (F.lit(reach) + F.col("more")).alias("depth")))
+        if plain:
+            ends = further.agg(F.count("*").alias("n"), F.count_if(F.col("node") == F.col("ancestor")).alias("own")).first()
+            if not ends.n:
+                return found
+            plain = not ends.own
+        reach *= 2
+        if plain:
+            found, jump = found.unionByName(further), further.where(F.col("depth") == reach)
+            continue
+        size = found.count()
+        found = written(found.unionByName(further.where("node <> ancestor")).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        if found.count() == size:
+            return found
+        jump = found.where(F.col("depth") == reach)  # what begins a shortest way is one
 
 
 def preorder(links: DataFrame, closure: DataFrame) -> DataFrame:

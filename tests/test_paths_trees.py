@@ -98,6 +98,25 @@ def test_cycles_end(spark):
     assert found == {("a", "b"): 1, ("a", "c"): 2, ("b", "c"): 1, ("b", "a"): 2, ("c", "a"): 1, ("c", "b"): 2, ("d", "a"): 1, ("d", "b"): 2, ("d", "c"): 3}
 
 
+def test_every_row_of_a_tree_is_made_once(spark, deep, monkeypatch):
+    rows, made = [], hierarchy.written
+    monkeypatch.setattr(hierarchy, "written", lambda df: rows.append((out := made(df)).count()) or out)
+    assert hierarchy.ancestors(deep[1]).count() == sum(rows)
+
+
+def test_several_parents_and_tails_of_cycles(spark):
+    draw = random.Random(4)
+    links = [(f"n{draw.randrange(14)}", f"n{draw.randrange(14)}", k) for k in range(20)]
+    expected = {}
+    for start in {c for c, _, _ in links}:
+        border, depth, seen = {start}, 0, {start}
+        while border:
+            border, depth = {p for c, p, _ in links if c in border} - seen, depth + 1
+            seen |= border
+            expected |= {(start, x): depth for x in border}
+    assert {(r.node, r.ancestor): r.depth for r in hierarchy.ancestors(spark.createDataFrame(links, "child string, parent string, ord long")).collect()} == expected
+
+
 def test_numbers_have_no_gaps(spark):
     rows = spark.range(5_000).selectExpr("id", "id % 7 AS g").repartition(6)
     assert sorted((r.g, r.id, r.n) for r in numbering.numbered(rows, ["g", "id"], "n").collect()) == [(g, k, n) for n, (g, k) in enumerate(sorted((k % 7, k) for k in range(5_000)), 1)]
