@@ -69,3 +69,16 @@ def test_the_stronger_fact_stays_and_gaps_show(spark):
     found = {r.topic: (r.n_with, r.complete, r.partial, r.missing) for r in comparison.gaps(comparison.matrix(one, ["Oman", "Iran"])).collect()}
     assert found == {"solar_capacity": (1, False, True, "Iran"), "wind_capacity": (1, False, True, "Iran")}
     assert comparison.matrix(one.limit(0)).count() == 0
+
+
+def test_equal_words_are_one_before_they_are_normalised(spark, monkeypatch):
+    rows = [("A", "solar", s, e, 0.5, d, 0) for d, (s, e) in enumerate([("Adds 5 percent of solar.", 0.2), ("Adds 5 percent of solar.", 0.9), ("Adds 5% of solar.", 0.9), ("Adds 5 percent of solar.", 0.9), ("adds 5%  of the solar", 0.1)])]
+    found = spark.createDataFrame(rows * 3, "entity string, topic string, statement string, evidence_score double, semantic_score double, doc_id long, nth int")
+    df = comparison.merged(found)
+    nodes = df._jdf.queryExecution().optimizedPlan().toString()
+    assert nodes.index("ArrowEvalPython") < nodes.rindex("Aggregate")  # an aggregate stands below the function
+    kept = {r.fingerprint: (r.statement, r.n_merged, r.documents, tuple(r.first), round(r.strength, 9)) for r in df.collect()}
+    assert kept == {"adds 5% of solar.": ("Adds 5% of solar.", 12, [0, 1, 2, 3], (0, 0), 0.74), "adds 5% of solar": ("adds 5% of the solar", 3, [4], (4, 0), 0.26)}
+    sizes, real = [], comparison.written
+    monkeypatch.setattr(comparison, "written", lambda one: sizes.append(1) or real(one))
+    assert [(r.n_facts, r.n_documents) for r in comparison.matrix(df).collect()] == [(2, 5)] and sizes == [1]
