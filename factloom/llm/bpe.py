@@ -9,9 +9,9 @@ the list of what it lacks. A state that lacks u never gets w, so what one gadget
 later grow from v on the right: a span, if tokens are numbered in preorder of "begins with", latest first. States that
 lack the same are one state. The result is deterministic: state and token give the next state, or none.
 
-Words are read letter by letter. Every prefix of a word has exactly one accepted sequence, so one token is noted for each
-prefix: the one that ends there and has an arc from the state that the prefix before it leads to. There is no search and
-no stepping back; the work is the letters times the longest token. Decoding emits the labels of the arcs.
+Words are read arc by arc, the longest token first that has an arc and spells what comes next; where none has, the token
+before gives way to a shorter one. Every prefix of a word has exactly one accepted sequence, so no place in a word is reached
+twice; the work is the letters times the longest token at most, and mostly about two looks a letter. Decoding emits the labels of the arcs.
 
 Pieces between white space repeat, and so do the words that the tokenizer's pattern cuts from them when normalised; the
 encodings of both are kept in tables of bounded size.
@@ -29,7 +29,6 @@ import re
 import unicodedata
 from array import array
 from bisect import bisect_right
-from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -37,7 +36,9 @@ from pyspark.sql import DataFrame
 
 from factloom.llm.shared import SPACE
 
-PIECES_KEPT, WORDS_KEPT, LONGEST_KEPT = 160_000, 160_000, 100
+PIECES_KEPT, WORDS_KEPT, LONGEST_KEPT = 120_000, 100_000, 100  # two tables each
+#: A letter that no vocabulary has, for the end of a word.
+END = "\uffff"
 _CHUNK = re.compile(f"[^{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -78,11 +79,12 @@ class Automaton:
             raise ValueError("two merges make one token")
         self.number = preorder([t for t in vocab if t in made or len(t.removesuffix(end)) == 1 or len(t) == 1], merges)
         self._compile(merges)
-        self.tails: dict[str, int] = {}  # whatever some token ends in: the token's place, or -1 if it is none itself
-        for token in self.state:
-            for k in range(len(token.removesuffix(end)) if end else len(token)):
-                self.tails.setdefault(token[k:], -1)
-            self.tails[token] = self.number[token]
+        # every beginning of a token (spelled with one letter for the end) and the longest token that begins it
+        spelled = {t.removesuffix(end) + END if end and t.endswith(end) else t: t for t in self.state}
+        self.heads: dict[str, str | None] = {t[:k]: None for t in spelled for k in range(1, len(t) + 1)}
+        for head in sorted(self.heads, key=len):
+            self.heads[head] = head if head in spelled else self.heads.get(head[:-1])
+        self.arcs = {t: (self.number[name], self.lacks[self.state[name]], self.heads.get(t[:-1]), name) for t, name in spelled.items()}
 
     def _compile(self, merges: list[tuple[str, str]]) -> None:
         size = dict.fromkeys(self.number, 1)
@@ -135,37 +137,36 @@ class Automaton:
 
     def encode(self, word: str) -> list[str]:
         """Tokens of one word, given as its letters."""
-        tails, lacks, state = self.tails, self.lacks, self.state
-        at: list[int | None] = [None] * (len(word) + 1)  # the state that each prefix leads to
-        last: list[str] = [""] * (len(word) + 1)  # and the last token of its sequence
-        for stop in range(1, len(word) + 1):
-            end = self.end if stop == len(word) else ""
-            for start in range(stop - 1, -1, -1):  # at most one of the tokens that end here has its arc
-                token = word[start:stop] + end if end else word[start:stop]
-                if token not in tails:
+        if not word:
+            return []
+        heads, arcs, text = self.heads, self.arcs, word + END if self.end else word
+        stop, at, lacks, out = len(text), 0, (), []
+        path: list[tuple[int, tuple | array, str | None]] = []  # where each token began, what the state lacked there, and the next shorter token
+        far = 1
+        while text[:far] in heads and far <= stop:
+            far += 1
+        token = heads.get(text[: far - 1])
+        while True:
+            while token is not None:
+                place, after, shorter, name = arcs[token]
+                if not bisect_right(lacks, place) & 1:
                     break
-                place = tails[token]
-                if place >= 0:
-                    before = at[start]
-                    if not start or (before is not None and not bisect_right(lacks[before], place) & 1):
-                        at[stop], last[stop] = state[token], token
-                        break
-        if word and not last[-1]:
-            raise ValueError(f"no tokens for {word!r}")
-        out, stop = [], len(word)
-        while stop:
-            out.append(last[stop])
-            stop -= len(last[stop].removesuffix(self.end) if stop == len(word) and self.end else last[stop])
-        return out[::-1]
-
-
-def _keep(table: dict, key: str, value: object, most: int) -> None:
-    """Enter a key that is not too long into a table of at most `most` entries; a full one loses its older half."""
-    if len(key) <= LONGEST_KEPT:
-        if len(table) >= most:
-            for old in list(islice(table, most // 2)):
-                del table[old]
-        table[key] = value
+                token = shorter
+            if token is None:  # the prefix read so far is not how the word goes on
+                if not path:
+                    raise ValueError(f"no tokens for {word!r}")
+                out.pop()
+                at, lacks, token = path.pop()
+                continue
+            path.append((at, lacks, shorter))
+            out.append(name)
+            at += len(token)
+            if at == stop:
+                return out
+            lacks, far = after, at + 1
+            while text[at:far] in heads and far <= stop:
+                far += 1
+            token = heads.get(text[at : far - 1])
 
 
 class WordCodec:
@@ -176,15 +177,18 @@ class WordCodec:
             spec = json.load(f)
         model = spec["model"]
         self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
-        self.ids = model["vocab"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in self.special))
         self.letters = dict(enumerate(byte_letters()))
         self.labels = {**self.automaton.label, **{i: t for t, i in self.special.items()}}
         self.path, self.library = path, None
-        self.kept: dict[str, tuple[int, str, str]] = {}
-        self.coded: dict[str, tuple[int, ...]] = {}
+        self.digits = {t: str(i) for t, i in model["vocab"].items()}
+        # two tables each, the newer one filled anew when it is full: what is asked for again passes into it, the rest goes
+        self.kept: dict[str, tuple[str, str]] = {}
+        self.kept_before: dict[str, tuple[str, str]] = {}
+        self.coded: dict[str, tuple[str, str]] = {}
+        self.coded_before: dict[str, tuple[str, str]] = {}
 
     def words(self, piece: str) -> list[str]:
         """The letters of each word of a piece.
@@ -211,19 +215,30 @@ class WordCodec:
         clean = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         return [w.encode().decode("latin-1").translate(self.letters) for w in self.pattern.findall(clean)]
 
-    def chunk(self, piece: str) -> tuple[int, str, str]:
-        """Number of ids, ids and decoded ids of a piece of text without white space, kept for next time."""
-        found = self.kept.get(piece)
+    def word(self, word: str) -> tuple[str, str]:
+        """Decimal ids of a word and their decoding, each joined by a space, kept for next time."""
+        found = self.coded_before.get(word)
+        if found is None:
+            tokens = self.automaton.encode(word)
+            found = (" ".join(map(self.digits.__getitem__, tokens)), " ".join(tokens))
+        if len(self.coded) >= WORDS_KEPT:
+            self.coded_before = self.coded.copy()
+            self.coded.clear()
+        if len(word) <= LONGEST_KEPT:
+            self.coded[word] = found
+        return found
+
+    def chunk(self, piece: str) -> tuple[str, str]:
+        """Decimal ids of a piece of text without white space and their decoding, each joined by a space, kept for next time."""
+        found = self.kept_before.get(piece)
         if found is None:
-            ids: list[int] = []
-            for word in self.words(piece):
-                own = self.coded.get(word)
-                if own is None:
-                    own = tuple(map(self.ids.__getitem__, self.automaton.encode(word)))
-                    _keep(self.coded, word, own, WORDS_KEPT)
-                ids += own
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            _keep(self.kept, piece, found, PIECES_KEPT)
+            made = [self.coded.get(w) or self.word(w) for w in self.words(piece)]
+            found = made[0] if len(made) == 1 else (" ".join([x[0] for x in made]), " ".join([x[1] for x in made]))
+        if len(self.kept) >= PIECES_KEPT:
+            self.kept_before = self.kept.copy()
+            self.kept.clear()
+        if len(piece) <= LONGEST_KEPT:
+            self.kept[piece] = found
         return found
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
@@ -232,16 +247,15 @@ class WordCodec:
         sections = [s for s in self.split.split(text) if s] if "<|" in text else [text]
         for section in sections:
             if section in self.special:
-                found.append((1, str(self.special[section]), section))
-                continue
-            for piece in _CHUNK.findall(section) if _ODD.search(section) else section.split():
-                got = kept.get(piece) or self.chunk(piece)
-                if got[0]:
-                    found.append(got)
-        if not found:
-            return 0, "", ""
-        n, ids, labels = zip(*found, strict=True)
-        return sum(n), " ".join(ids), " ".join(labels)
+                found.append((str(self.special[section]), section))
+            else:
+                pieces = _CHUNK.findall(section) if _ODD.search(section) else section.split()
+                found += [kept.get(piece) or self.chunk(piece) for piece in pieces]
+        ids, labels = zip(*found, strict=True) if found else ((), ())
+        if "" in ids:  # pieces that normalising leaves nothing of
+            ids, labels = filter(None, ids), filter(None, labels)
+        joined = " ".join(ids)
+        return joined.count(" ") + 1 if joined else 0, joined, " ".join(labels)
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by a space (the file names no decoder)."""

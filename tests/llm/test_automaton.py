@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from factloom.llm import bpe
 from factloom.llm.bpe import Automaton
 
 
@@ -82,3 +86,36 @@ def test_end_of_word():
     own = Automaton(vocab, [("a", "b</w>"), ("a", "a"), ("aa", "b</w>")], "</w>")
     assert own.encode("ab") == ["ab</w>"] and own.encode("aab") == ["a", "ab</w>"] and own.encode("") == []
     assert own.encode("aaab") == ["aa", "ab</w>"]
+
+
+def test_a_word_takes_few_looks_a_letter():
+    merges = [("a", "b"), ("c", "ab"), ("ab", "cab"), ("abcab", "cab"), ("b", "c"), ("bc", "abcabcab"), ("c", "b</w>")]
+    own, steps = Automaton({t: k for k, t in enumerate(["a", "b", "c", "a</w>", "b</w>", "c</w>", *(u + v for u, v in merges)])}, merges, "</w>"), 0
+    word = "abcabcab" * 200 + "cb"
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        found = own.encode(word)
+    finally:
+        sys.settrace(before)
+    assert "".join(found) == word + "</w>"
+    assert steps < 8 * len(word)
+
+
+def test_tables_of_words_stay_bounded_and_right(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = bpe.WordCodec(path)
+    text = " ".join(f"word{k % 37}x, thing{k % 11}" for k in range(400)) + " <|endoftext|> \u0301 Été"
+    expected = own.encode(text)
+    for most in (1, 5):
+        monkeypatch.setattr(bpe, "PIECES_KEPT", most)
+        monkeypatch.setattr(bpe, "WORDS_KEPT", most)
+        small = bpe.WordCodec(path)
+        assert small.encode(text) == expected
+        assert max(map(len, (small.kept, small.kept_before, small.coded, small.coded_before))) <= most
