@@ -47,53 +47,68 @@ def _spaced(text: Column) -> Column:
 
 
 def clauses(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, sentence, part (both from 0), clause, whole (the sentence) of docs(key, text): sentences, cut at semicolons and bullets."""
+    """key, sentence, part (both from 0), clause, new (whether its sentence begins, and says something else than the one before) of docs(key, text): sentences, cut at semicolons and bullets."""
     sentences = F.filter(F.split(_spaced(F.col("text")), r"(?<=[.!?])\s+"), lambda x: x != "")
-    rows = docs.select(key, F.posexplode(sentences).alias("sentence", "whole"))
-    parts = F.filter(F.transform(F.split("whole", "[;•]"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = rows.select(key, "sentence", "whole", F.posexplode(parts).alias("part", "clause"))
-    return rows.select(key, "sentence", "part", "clause", "whole")
+    parts = F.filter(F.transform(F.split("x", "[;•]"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = docs.select(key, sentences.alias("all")).select(key, F.filter(F.transform("all", lambda x, k: F.struct(k.alias("sentence"), x.alias("whole"))), lambda x: x["whole"].rlike("[^ ;•]")).alias("told"))
+    # outer: else Spark would make every list a second time, to see whether it is empty
+    before = lambda k: F.when(k > 0, F.get("told", k - 1)["whole"])
+    rows = rows.select(key, F.explode_outer(F.transform("told", lambda x, k: F.struct(x["sentence"].alias("sentence"), x["whole"].alias("whole"), (~F.equal_null(before(k), x["whole"])).alias("new")))).alias("s")).where(F.col("s").isNotNull())
+    rows = rows.select(key, "s.sentence", F.col("s.whole").alias("x"), "s.new").select(key, "sentence", "new", F.posexplode_outer(parts).alias("part", "clause"))
+    return rows.select(key, "sentence", "part", "clause", (F.col("new") & (F.col("part") == 0)).alias("new"))
+
+
+def _found(clause: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(clause, pattern, group)), F.lit(""))
 
 
 def subject(clause: Column) -> Column:
     """The subject that a clause names at its start, or null."""
-    named = [F.when(clause.rlike(p), F.trim(F.regexp_extract(clause, p, 1))) for p in NAMED]
-    listed = [F.when(clause.rlike(f"(?i)^{s}"), F.substring(clause, 1, len(s))) for s in SUBJECTS]
-    return F.coalesce(*listed, *named)
+    return F.coalesce(F.nullif(F.regexp_extract(clause, f"(?i)^(?:{'|'.join(SUBJECTS)})", 0), F.lit("")), *[_found(clause, p, 1) for p in NAMED])
+
+
+#: The earliest predicate of a clause; of equally early ones the first, as alternatives are tried in order.
+_PREDICATE = rf"\b(?:{'|'.join(PREDICATES)})\b"
 
 
 def predicate(clause: Column) -> Column:
     """The earliest predicate of a clause, or null."""
-    found = [F.struct(F.regexp_instr(clause, F.lit(rf"(?i)\b(?:{p})\b")).alias("at"), F.lit(k).alias("k"), F.regexp_extract(clause, rf"(?i)\b({p})\b", 1).alias("p")) for k, p in enumerate(PREDICATES)]
-    return F.array_min(F.filter(F.array(*found), lambda x: x["at"] > 0))["p"]
+    return F.nullif(F.regexp_extract(clause, rf"(?i){_PREDICATE}", 0), F.lit(""))
 
 
 def cleaned(item: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(item), r"(?i)^(?:and|or|as well as)\s+", ""), r"[.;:!?]+$", ""))
 
 
-def listed(value: Column) -> Column:
-    """The items of an object that is a list, else an array of the object alone, as struct(items, prefix, expanded)."""
-    signal = (F.regexp_count(value, F.lit(",")) >= 1) & value.rlike(r"(?i)\s(?:and|or)\s+")
-    single = (F.regexp_count(value, F.lit(INDEPENDENT)) <= 1) & ~value.rlike(r"[.!?]\s+[A-Z]")
-    safe, spelled = value, []
+def _marked(value: Column) -> Column:
+    """A value with marks for its protected phrases. None of them begins with a word that another one ends with, so their order is free."""
+    safe = value
     for k, phrase in enumerate(PROTECTED):
-        pattern = rf"(?i)\b{phrase}\b"
-        spelled.append((f"__P{k}__", F.regexp_extract(safe, pattern, 0)))
-        safe = F.regexp_replace(safe, pattern, f"__P{k}__")
+        safe = F.regexp_replace(safe, rf"(?i)\b{phrase}\b", f"__P{k}__")
+    return F.when(value.rlike(rf"(?i)\b(?:{'|'.join(PROTECTED)})\b"), safe).otherwise(value)
 
-    def restored(item: Column) -> Column:
-        for mark, phrase in spelled:
-            item = F.replace(item, F.lit(mark), phrase)
-        return cleaned(item)
 
-    items = F.transform(F.split(F.regexp_replace(safe, r"(?i),\s*(?:and|or)\s+", ","), ","), lambda x: cleaned(x))
-    items = F.filter(F.transform(F.filter(items, lambda x: x != ""), restored), lambda x: (F.length(x) >= 2) & ~x.rlike(r"[.!?]\s+[A-Z]"))
-    many = signal & single & (F.size(items) >= 2)
-    at = F.instr(F.lower(value), F.lower(F.element_at(items, 1)))
-    before = F.trim(F.substring(value, F.lit(1), at - 1))
-    prefix = F.when(many & (at > 1) & before.rlike(CONTEXT), before).otherwise("")
-    return F.when(many, F.struct(items.alias("items"), prefix.alias("prefix"), F.lit(True).alias("expanded"))).otherwise(F.struct(F.array(cleaned(value)).alias("items"), F.lit("").alias("prefix"), F.lit(False).alias("expanded")))
+def _unmarked(item: Column, value: Column) -> Column:
+    own = item
+    for k, phrase in enumerate(PROTECTED):
+        own = F.replace(own, F.lit(f"__P{k}__"), F.regexp_extract(value, rf"(?i)\b{phrase}\b", 0))
+    return F.when(item.contains("__P"), own).otherwise(item)
+
+
+def listed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with items (of an object that is a list, else an array of the object alone), prefix and expanded; each is made once a row."""
+    value, items = F.col(column), F.col("l_items")
+    signal = value.contains(",") & value.rlike(r"(?i)\s(?:and|or)\s+")
+    single = (F.regexp_count(value, F.lit(INDEPENDENT)) <= 1) & ~value.rlike(r"[.!?]\s+[A-Z]")
+    # few objects are lists; only these are taken apart
+    rows = rows.withColumn("l_signal", signal & single).withColumn("l_safe", F.when(F.col("l_signal"), F.regexp_replace(_marked(value), r"(?i),\s*(?:and|or)\s+", ",")))
+    bare = F.filter(F.transform(F.split("l_safe", ","), lambda x: cleaned(x)), lambda x: x != "")
+    kept = F.filter(F.transform(bare, lambda x: cleaned(_unmarked(x, value))), lambda x: (F.length(x) >= 2) & ~x.rlike(r"[.!?]\s+[A-Z]"))
+    rows = rows.withColumn("l_items", F.when(F.col("l_signal"), kept)).withColumn("expanded", F.col("l_signal") & (F.size("l_items") >= 2))
+    rows = rows.withColumn("l_at", F.when(F.col("expanded"), F.instr(F.lower(value), F.lower(F.element_at(items, 1)))).otherwise(0))
+    rows = rows.withColumn("l_before", F.when(F.col("l_at") > 1, F.trim(F.substring(value, F.lit(1), F.col("l_at") - 1))))
+    rows = rows.withColumn("prefix", F.when(F.col("l_before").rlike(CONTEXT), F.col("l_before")).otherwise(""))
+    return rows.withColumn("items", F.when(F.col("expanded"), items).otherwise(F.array(cleaned(value)))).drop("l_signal", "l_safe", "l_items", "l_at", "l_before")
 
 
 def confidence(who: Column, what: Column, value: Column, source: Column, expanded: Column, kept_context: Column, structured: Column) -> Column:
@@ -109,20 +124,19 @@ def confidence(who: Column, what: Column, value: Column, source: Column, expande
 
 def propositions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, sentence, part, item, subject, predicate, source (explicit, inherited, missing), object, kind, number, confidence, valid, missing (parts that lack, joined) of docs(key, text)."""
-    order = Window.partitionBy(key).orderBy("sentence", "part")
+    # small rows cost much work, so they are dealt out before it, by the key of the windows
+    docs = docs.select(key, "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    upto = Window.partitionBy(key).orderBy("sentence", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = clauses(docs, key).withColumn("named", subject(F.col("clause"))).withColumn("said", predicate(F.col("clause")))
-    # a sentence repeated right after itself goes on with its subject
-    new = F.when(F.lag("whole").over(order).isNull() | (F.lag("whole").over(order) != F.col("whole")), 1).otherwise(0)
-    rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    held = F.last("named", ignorenulls=True).over(Window.partitionBy(key, "run").orderBy("sentence", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.last("said", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a sentence repeated right after itself goes on with its subject; any other begins without one
+    held = F.last(F.when(F.col("new") | F.col("named").isNotNull(), F.struct("named")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("subject", held["named"]).withColumn("before", F.last("said", ignorenulls=True).over(upto))
     goes_on = F.col("clause").rlike(CONTINUES) | ~F.col("clause").rlike(STRONG)
-    rows = rows.withColumn("subject", held).withColumn("before", before)
     rows = rows.withColumn("source", F.when(F.col("said").isNotNull(), "explicit").when(F.col("before").isNotNull() & goes_on, "inherited").otherwise("missing"))
     rows = rows.withColumn("predicate", F.when(F.col("source") != "missing", F.coalesce("said", "before")))
-    after = F.trim(F.regexp_replace("clause", F.concat(F.lit(r"(?is)^.*?\b"), "predicate", F.lit(r"\b")), F.lit("")))
-    rows = rows.withColumn("whole_object", F.coalesce(after, "clause")).withColumn("l", listed(F.col("whole_object")))
-    rows = rows.select(key, "sentence", "part", "subject", "predicate", "source", "l.prefix", "l.expanded", F.posexplode("l.items").alias("item", "thing"))
+    # a clause that inherits its predicate has none itself, so nothing goes from it
+    rows = listed(rows.withColumn("whole_object", F.trim(F.regexp_replace("clause", rf"(?is)^.*?{_PREDICATE}", ""))), "whole_object")
+    rows = rows.select(key, "sentence", "part", "subject", "predicate", "source", "prefix", "expanded", F.posexplode_outer("items").alias("item", "thing"))
     rows = rows.withColumn("object", F.nullif(F.trim(F.concat_ws(" ", F.nullif("prefix", F.lit("")), "thing")), F.lit(""))).withColumn("value", structured_value(F.col("object")))
     lacking = F.array_compact(F.array(F.when(F.col("subject").isNull(), "subject"), F.when(F.col("predicate").isNull(), "predicate"), F.when(F.col("object").isNull(), "object")))
     sure = confidence(F.col("subject"), F.col("predicate"), F.col("object"), F.col("source"), F.col("expanded"), F.col("prefix") != "", F.col("value"))

@@ -146,6 +146,11 @@ def structured_value(text: Column) -> Column:
     as no amount.
     """
     clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    # no value is without a digit; what has one is cleaned once
+    return F.when(text.rlike("[0-9]"), F.element_at(F.transform(F.array(clean), _structured), 1))
+
+
+def _structured(clean: Column) -> Column:
     number = lambda p, g: F.replace(F.regexp_extract(clean, p, g), F.lit(","), F.lit("")).try_cast("double")
     own = lambda c, names: F.coalesce(*[F.when(F.lower(c) == x.lower(), x) for x in names])
     money, scale = number(MONEY, 2), F.lower(F.regexp_extract(clean, MONEY, 3))

@@ -76,3 +76,26 @@ def test_quality_of_facts(spark, statement, score, reasons):
 
     found = factquality.judged(spark.createDataFrame([(statement,)], "s string"), "s").first()
     assert (found.score, found.reasons, found.accepted) == (score, reasons, score >= 45)
+
+
+def test_lists_are_made_once_and_texts_dealt_out(spark):
+    plan = propositions.propositions(spark.createDataFrame(TEXTS, "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "size(" in x]  # a filter on sizes would take every list apart again, in copies
+    assert plan.count("RepartitionByExpression [doc_id") == 1 and plan.count("Window [") == 1
+
+
+#: As the code before gave them.
+EXPECTED = [
+    (0, 0, 0, "The policy", "will Reduce", "explicit", "Oil and gas"),
+    (0, 0, 1, "The policy", "will Reduce", "explicit", "green hydrogen"),
+    (0, 0, 2, "The policy", "will Reduce", "explicit", "Oil and gas and research, development and innovation"),
+    (0, 1, 0, "The policy", "will Reduce", "inherited", "parks or roofs"),
+    (1, 0, 0, None, "shall go", "explicit", None),
+    (2, 0, 0, None, "shall go", "explicit", None),
+]
+
+
+def test_phrases_again_and_a_predicate_of_two_words(spark):
+    text = "The policy will  Reduce Oil and gas, green hydrogen, oil and Gas and research, development and innovation; parks or roofs. ; It shall go. ; It shall go."
+    rows = propositions.propositions(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.sentence, r.part, r.item, r.subject, r.predicate, r.source, r.object) for r in rows] == EXPECTED
