@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: All times are measured against this one, so results don't depend on when a query runs.
 AS_OF = "2025-01-01"
@@ -143,6 +144,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in sorted(set(re.findall(r"{(\w+)}", text)))})
 
 
+def retrieved_places(reports: DataFrame) -> DataFrame:
+    """answer_id, place, citation_id, doc_id of the view `retrieved`, from reports(doc_id, country) without their texts."""
+    after = Window.partitionBy("country").orderBy("doc_id")
+    others = F.array("doc_id", F.lead("doc_id", 1).over(after), F.lead("doc_id", 2).over(after))
+    rows = reports.withColumn("others", others).select(F.col("doc_id").alias("answer_id"), F.posexplode_outer("others").alias("nth", "other")).where("other is not null")
+    return rows.select("answer_id", (F.col("nth") + 1).alias("place"), F.concat(F.lit("CA-00"), (F.col("nth") + 1).cast("string")).alias("citation_id"), F.col("other").alias("doc_id"))
+
+
 def with_views(sql: str) -> str:
     """An oracle's SQL with the views that it names as first members of its WITH."""
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
