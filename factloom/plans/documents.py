@@ -141,8 +141,8 @@ def snk1(s, d):
     docs = view(s, d, "reports").select("doc_id", "text")
     path = processing.new_store(s)
     processing.reprocess(docs, path)
-    again = docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("Annex New\n\n"), "text"))
-    processing.reprocess(again.unionByName(docs.where("doc_id % 7 = 0 and doc_id % 3 <> 0").withColumn("text", F.lit("too short"))), path)
+    again = docs.where("doc_id % 3 = 0 or doc_id % 7 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Annex New\n\n"), "text")).otherwise("too short"))
+    processing.reprocess(again, path)
     return processing.stored(s, path)
 
 

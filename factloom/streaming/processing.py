@@ -63,8 +63,8 @@ def new_store(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/factloom/chunks-{uuid.uuid4().hex}"
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+def _bucket(key: str = "doc_id"):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -81,22 +81,21 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 def reprocess(docs: DataFrame, path: str, sizes: chunking.Sizes = chunking.Sizes()) -> DataFrame:
     """Cut docs(doc_id, text) into chunks and replace those documents' rows of the store; gives doc_id, status, n_chunks of every job."""
     spark = docs.sparkSession
-    again = docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()
+    # docs are read once: a document without chunks is a row of nulls here, and every document has one row that is null or chunk 0
+    made = written(chunking.chunked(docs, sizes, keep=True))
+    counts = written(made.groupBy("doc_id").agg(F.count("chunk").alias("n_chunks"), F.count_if(F.coalesce("chunk", F.lit(0)) == 0).alias("times")))
+    again = counts.where("times > 1").limit(1).collect()
     if again:
         raise ValueError(f"document {again[0].doc_id} comes twice in one run")
-    made = written(chunking.chunked(docs, sizes))
-    counts = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    asked = docs.select("doc_id")
-    jobs = asked.join(counts, asked["doc_id"].eqNullSafe(counts["doc_id"]), "left").select(asked["doc_id"], F.when(F.col("n_chunks") > 0, "completed").otherwise("failed").alias("status"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
-    jobs = written(jobs)
-    done = jobs.where("status = 'completed'").select(F.col("doc_id").alias("done"))
-    new = made.withColumn("bucket", _bucket())
+    jobs = counts.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.when(F.col("n_chunks") > 0, "completed").otherwise("failed").alias("status"), "n_chunks")
+    done = counts.where("n_chunks > 0").select(F.col("doc_id").alias("done"))
+    if done.isEmpty():
+        return jobs
+    new = made.where("chunk is not null").withColumn("bucket", _bucket())
     if _exists(spark, path):
         held = spark.read.parquet(path).withColumn("bucket", F.col("bucket").cast("int"))
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        old = held.where(F.col("bucket").isin(touched)) if touched else held.limit(0)
-        new = new.unionByName(old.join(done, F.col("doc_id").eqNullSafe(F.col("done")), "left_anti").select(*new.columns))
-    ready = written(new)  # what is to be written no longer reads the store
-    if not ready.isEmpty():
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        touched = [r.bucket for r in done.select(_bucket("done").alias("bucket")).distinct().collect()]  # at most BUCKETS numbers
+        old = held.where(F.col("bucket").isin(touched)).join(done, F.col("doc_id").eqNullSafe(F.col("done")), "left_anti")
+        new = new.unionByName(written(old.select(*new.columns)))  # what is to be written no longer reads the store
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     return jobs
