@@ -41,7 +41,9 @@ LEAST, MOST_TOKENS = 0.72, 12
 
 def key_of(value: Column) -> Column:
     """A value in lower case, words and signs of money only."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9%$€£]+", " "))
+    low = F.lower(F.coalesce(value, F.lit("")))
+    # words with one space between them are their own key
+    return F.trim(F.when(low.rlike("[^a-z0-9%$€£ ]|  "), F.regexp_replace(low, "[^a-z0-9%$€£]+", " ")).otherwise(low))
 
 
 def identifier(value: Column) -> Column:
@@ -62,9 +64,13 @@ def is_numeric(value: Column) -> Column:
 
 def discovered(facts: DataFrame, least: float = LEAST) -> DataFrame:
     """key, name, type, candidate_id, n_sources, score, reasons (why it is none, joined; '' if it may be one), eligible of every object of the facts."""
-    rows = facts.withColumn("key", key_of(F.col("object"))).where(F.trim(F.coalesce("object", F.lit(""))) != "")
-    first = F.min(F.struct("rel_id", "object", "value_type")).alias("first")
-    objects = rows.groupBy("key").agg(first, F.count_distinct("source").alias("n_sources")).select("key", F.trim("first.object").alias("object"), F.lower(F.col("first.value_type")).alias("value_type"), "n_sources")
+    rows = facts.where(F.trim(F.coalesce("object", F.lit(""))) != "")
+    # keys are made of distinct objects; of equal ones the least number stands for all, or none if one has none
+    least_id = F.when(F.count_if(F.col("rel_id").isNull()) == 0, F.min("rel_id")).alias("rel_id")
+    spelled = written(rows.groupBy("object", "value_type").agg(least_id).withColumn("key", key_of(F.col("object"))))
+    first = spelled.groupBy("key").agg(F.min(F.struct("rel_id", "object", "value_type")).alias("first"))
+    said = rows.select("object", "source").join(spelled.select("object", "key").distinct(), "object").groupBy("key").agg(F.count_distinct("source").alias("n_sources"))
+    objects = first.join(said, "key").select("key", F.trim("first.object").alias("object"), F.lower(F.col("first.value_type")).alias("value_type"), "n_sources")
     n = F.size(F.filter(F.split("key", " "), lambda x: x != ""))
     literal, numeric = F.coalesce(F.col("value_type").isin(LITERALS), F.lit(False)), is_numeric(F.col("object"))
     sentence = (n > 14) | F.col("object").rlike(r"[.!?]$")
@@ -107,14 +113,20 @@ def duplicates(found: DataFrame, registry: DataFrame) -> DataFrame:
     return hits.select(F.col("own").alias("key"), "m.entity_id", F.element_at(F.array(*[F.lit(r) for r in RULES]), F.col("m.rule") + 1).alias("match"))
 
 
-def plan(facts: DataFrame, registry: DataFrame, edges: DataFrame, least: float = LEAST, prefix: str = "E") -> dict[str, DataFrame]:
-    """Named tables of an augmentation: discovered, duplicates, entities (to insert), mapping, relationships (to insert), rejected, report."""
-    found = written(discovered(facts, least))
+def mapped(found: DataFrame, registry: DataFrame, prefix: str = "E") -> dict[str, DataFrame]:
+    """The tables of a plan that need no facts beside what was discovered in them: discovered, duplicates, entities (to insert), mapping."""
     double = written(duplicates(found, registry))
     fresh = found.where("eligible").join(double, "key", "left_anti")
     top = registry.agg(F.max(F.regexp_extract("entity_id", r"([0-9]+)$", 1).try_cast("long"))).first()[0] or 0
     new = written(numbered(fresh, ["key"], "number", top + 1).withColumn("entity_id", F.concat(F.lit(prefix), "number")))
     mapping = written(double.select("key", "entity_id", "match").unionByName(new.select("key", "entity_id", F.lit("new").alias("match"))))
+    return {"discovered": found, "duplicates": double, "entities": new, "mapping": mapping}
+
+
+def plan(facts: DataFrame, registry: DataFrame, edges: DataFrame, least: float = LEAST, prefix: str = "E") -> dict[str, DataFrame]:
+    """Named tables of an augmentation: discovered, duplicates, entities (to insert), mapping, relationships (to insert), rejected, report."""
+    made = mapped(written(discovered(facts, least)), registry, prefix)
+    found, double, new, mapping = made["discovered"], made["duplicates"], made["entities"], made["mapping"]
     score = found.select("key", "score")
     rows = facts.select("rel_id", "subject_id", F.upper(F.regexp_replace(F.trim("predicate"), "[^A-Za-z0-9]+", "_")).alias("predicate"), key_of(F.col("object")).alias("key"), F.coalesce("confidence", F.lit(0.0)).alias("own"))
     rows = rows.join(mapping.select("key", F.col("entity_id").alias("object_id")), "key").join(score, "key")
@@ -131,13 +143,18 @@ def plan(facts: DataFrame, registry: DataFrame, edges: DataFrame, least: float =
     report = counts[0][1].agg(F.lit(counts[0][0]).alias("figure"), F.count("*").alias("n"))
     for name, rows in counts[1:]:
         report = report.unionByName(rows.agg(F.lit(name).alias("figure"), F.count("*").alias("n")))
-    return {"discovered": found, "duplicates": double, "entities": new, "mapping": mapping, "relationships": links, "rejected": rejected, "report": report}
+    return {**made, "relationships": links, "rejected": rejected, "report": report}
+
+
+def extended(made: dict[str, DataFrame], registry: DataFrame) -> DataFrame:
+    """The registry after a plan; what was there stays as it is."""
+    new = made["entities"].select("entity_id", "name", "type", F.array().cast("array<string>").alias("aliases"), F.array("candidate_id").alias("candidates"), F.lit(1).cast("long").alias("occurrences"))
+    return registry.select(*new.columns).unionByName(new)
 
 
 def applied(made: dict[str, DataFrame], registry: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Registry and edges after a plan; what was there stays as it is."""
-    new = made["entities"].select("entity_id", "name", "type", F.array().cast("array<string>").alias("aliases"), F.array("candidate_id").alias("candidates"), F.lit(1).cast("long").alias("occurrences"))
-    return registry.select(*new.columns).unionByName(new), edges.select("subject_id", "predicate", "object_id", "confidence").unionByName(made["relationships"].select("subject_id", "predicate", "object_id", "confidence"))
+    return extended(made, registry), edges.select("subject_id", "predicate", "object_id", "confidence").unionByName(made["relationships"].select("subject_id", "predicate", "object_id", "confidence"))
 
 
 def merged(first: DataFrame, more: DataFrame) -> DataFrame:
@@ -150,5 +167,7 @@ def merged(first: DataFrame, more: DataFrame) -> DataFrame:
 
 def object_links(facts: DataFrame, mapping: DataFrame) -> DataFrame:
     """key, entity_id, match, occurrences, confidence (greatest) of every object that stands for an entity."""
-    rows = facts.select(key_of(F.col("object")).alias("key"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")).groupBy("key").agg(F.count("*").alias("occurrences"), F.max("confidence").alias("confidence"))
+    # keys are made of distinct objects
+    objects = facts.select("object", F.coalesce("confidence", F.lit(0.0)).alias("confidence")).groupBy("object").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+    rows = objects.groupBy(key_of(F.col("object")).alias("key")).agg(F.sum("n").alias("occurrences"), F.max("confidence").alias("confidence"))
     return rows.join(mapping, "key").select("key", "entity_id", "match", "occurrences", "confidence")
