@@ -18,15 +18,29 @@ CONFIDENCE, RELEVANCE, OCCURRENCES, PROVENANCE = 0.45, 0.35, 0.1, 0.1
 
 
 def graph_key(value: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), r"\s+", " ")
+    low = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    # most values have single spaces already
+    return F.when(low.contains("  ") | low.rlike("[\t\n\x0b\f\r]"), F.regexp_replace(low, r"\s+", " ")).otherwise(low)
 
 
-def edges_of(statements: DataFrame) -> DataFrame:
-    """edge, source_node, predicate, target_node, object, is_literal, occurrences, average, greatest, n_sources of the statements; edge is the least rel_id."""
+def edges_of(statements: DataFrame, most_sources: bool = True) -> DataFrame:
+    """edge, source_node, predicate, target_node, object, is_literal, occurrences, average, greatest, n_sources of the statements; edge is the least rel_id.
+
+    Without most_sources n_sources stops at two, which is enough for a score, and no source is sorted or kept.
+    """
     literal = F.coalesce(F.trim("object_id"), F.lit("")) == ""
     target = F.when(literal, F.concat(F.lit("OBJECT::"), graph_key(F.col("object")))).otherwise(F.col("object_id"))
-    rows = statements.where(F.coalesce(F.trim("subject_id"), F.lit("")) != "").where(~literal | (graph_key(F.col("object")) != ""))
+    rows = statements.where(F.coalesce(F.trim("subject_id"), F.lit("")) != "").where(~literal | (F.trim(F.coalesce("object", F.lit(""))) != ""))
     own = F.coalesce("confidence", F.lit(0.0))
+    if not most_sources:
+        # first by the object as written: all of this is numbers, so nothing is sorted
+        said = rows.groupBy(F.col("subject_id").alias("source_node"), F.col("predicate").alias("said"), "object", "object_id").agg(
+            F.min("rel_id").alias("rel_id"), F.count("*").alias("n"), F.sum(own).alias("total"), F.max(own).alias("most"), F.min("source").alias("low"), F.max("source").alias("high"), F.count_if(F.col("rel_id").isNull()).alias("none"),
+        )
+        n_sources = F.when(F.min("low").isNull(), 0).when(F.min("low") == F.max("high"), 1).otherwise(2)
+        return said.groupBy("source_node", graph_key(F.col("said")).alias("predicate"), target.alias("target_node"), literal.alias("is_literal")).agg(
+            F.min("rel_id").alias("edge"), F.min(F.struct(F.when(F.col("none") == 0, F.col("rel_id")), "object")).getField("object").alias("object"), F.sum("n").alias("occurrences"), (F.sum("total") / F.sum("n")).alias("average"), F.max("most").alias("greatest"), n_sources.cast("long").alias("n_sources"),
+        )
     return rows.groupBy(F.col("subject_id").alias("source_node"), graph_key(F.col("predicate")).alias("predicate"), target.alias("target_node"), literal.alias("is_literal")).agg(
         F.min("rel_id").alias("edge"), F.min(F.struct("rel_id", "object")).getField("object").alias("object"), F.count("*").alias("occurrences"), F.avg(own).alias("average"), F.max(own).alias("greatest"), F.count_distinct("source").alias("n_sources"),
     )
@@ -78,13 +92,16 @@ def relevant_facts(edges: DataFrame, asked: DataFrame, names: DataFrame, most: i
 
     names(entity_id, name) gives subjects their names. A question without words is met by any fact.
     """
-    rows = edges.withColumnRenamed("source_node", "entity_id").join(asked.select("entity_id", "question"), "entity_id").join(names.select("entity_id", "name"), "entity_id", "left")
-    words, said = _tokens(F.col("question")), _tokens(F.concat_ws(" ", "name", "predicate", "object"))
-    rows = rows.withColumn("relevance", F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.array_intersect(words, said)) / F.size(words)))
+    # the words of a question are made once for it, not for each of its facts
+    asked = asked.select("entity_id", _tokens(F.col("question")).alias("words"))
+    rows = edges.withColumnRenamed("source_node", "entity_id").join(asked, "entity_id").join(names.select("entity_id", "name"), "entity_id", "left")
+    said = _tokens(F.concat_ws(" ", "name", "predicate", "object"))
+    rows = rows.withColumn("relevance", F.when(F.size("words") == 0, 1.0).otherwise(F.size(F.array_intersect("words", said)) / F.size("words")))
     score = F.least(F.lit(1.0), F.col("average")) * CONFIDENCE + F.col("relevance") * RELEVANCE + F.least(F.lit(1.0), F.col("occurrences") / 3) * OCCURRENCES + F.least(F.lit(1.0), F.col("n_sources") / 2) * PROVENANCE
-    rows = rows.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("score"), "edge"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= max(1, min(most, 100))).select("entity_id", "rank", "edge", F.round("relevance", 6).alias("relevance"), "score")
+    rows = rows.select("entity_id", "edge", "relevance", F.round(score, 6).alias("score")).withColumn("rank", rank).where(F.col("rank") <= max(1, min(most, 100)))
+    # facts below the least score come last, so they are left out after ranks; before, each score would be made twice
+    return rows.where(F.col("score") >= least).select("entity_id", "rank", "edge", F.round("relevance", 6).alias("relevance"), "score")
 
 
 def formatted(names: Column, predicates: Column) -> Column:

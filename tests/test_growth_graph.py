@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.operators import augmentation
+from factloom.operators import augmentation, knowledge
 from factloom.plans import discovery
 
 
@@ -30,3 +30,22 @@ def test_first_object_and_sources_of_a_key(spark):
     rows = [(3, "A b", None, 1), (2, "a  B", "date", 1), (5, "a b", None, 2), (2, "A-b", None, None), (None, "x y", None, 7), (1, "x y", None, 8), (4, "x Y", None, 8), (9, " ", None, 1)]
     found = augmentation.discovered(spark.createDataFrame(rows, "rel_id long, object string, value_type string, source long"))
     assert {(r.key, r.name, r.n_sources) for r in found.collect()} == {("a b", "A-b", 2), ("x y", "X Y", 2)}
+
+
+def test_edges_with_two_sources_at_most(spark):
+    rows = [
+        (4, "E1", "Runs", "a  B", None, 0.5, 1), (2, "E1", "runs", "A b", None, None, 1), (3, "E1", " runs", "a b", "", 0.25, None), (5, "E1", "runs", "Nation-1", "E9", 1.0, 1), (6, "E1", "runs", "nation_1", "E9", 0.0, 2),
+        (7, "E1", "runs", "nation_1", "E9", 0.5, 3), (8, "E2", "has\t it", "x\ty", None, 0.1, None), (None, "E2", "has it", "X y", None, 0.1, None), (9, None, "runs", "z", None, 1.0, 1), (10, "E3", "runs", " ", None, 1.0, 1),
+    ]
+    said = spark.createDataFrame(rows, "rel_id long, subject_id string, predicate string, object string, object_id string, confidence double, source long")
+    exact, short = [sorted((r.asDict() for r in knowledge.edges_of(said, most_sources=m).collect()), key=str) for m in (True, False)]
+    assert [{**r, "n_sources": min(2, r["n_sources"])} for r in exact] == short and [r["n_sources"] for r in exact if r["target_node"] == "E9"] == [3]
+
+
+def test_scored_edges_sort_no_sources(spark):
+    said = spark.createDataFrame([], "rel_id long, subject_id string, predicate string, object string, object_id string, confidence double, source long")
+    asked = spark.createDataFrame([], "entity_id string, question string")
+    found = knowledge.relevant_facts(knowledge.edges_of(said, most_sources=False), asked, asked.withColumnRenamed("question", "name"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    # each fact's words are taken apart in one place, the projection of its score
+    assert plan.count("array_intersect") == 1 and "count(distinct" not in plan
