@@ -6,7 +6,10 @@ points or more are kept. Phrases that mark internal tests can be added to.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Beginnings of metadata, headings, phrases of internal tests, incomplete ends, phrases that say nothing.
@@ -36,31 +39,50 @@ POINTS = {"metadata": 90, "heading": 70, "internal_test_content": 75, "question"
 WITH_VERB, WITH_FIGURE, ACCEPTED = 10, 5, 45
 
 
+def _by_letter(pattern: str) -> str:
+    """A pattern of whole words (some ending in s?) with its words grouped by first letters, so that few are tried where none begins."""
+    head, tail = r"(?i)\b(?:", r")\b"
+    words = sorted(pattern.removeprefix(head).removesuffix(tail).split("|"))
+    return head + "|".join(f"{letter}(?:{'|'.join(w[1:] for w in own)})" for letter, own in groupby(words, key=lambda w: w[0])) + tail
+
+
+def _contains(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in parts])
+
+
+def _spaced(text: Column) -> Column:
+    """A text with single spaces; most have no others."""
+    return F.when(text.contains("  ") | text.rlike("[\t\n\x0b\f\r]"), F.regexp_replace(text, r"\s+", " ")).otherwise(text)
+
+
 def judged(rows: DataFrame, column: str = "statement", internal: list[str] | None = None) -> DataFrame:
     """rows with score, accepted and reasons of the statements in a column. Texts, tests and faults are made one after another, each once a row."""
     own = rows.columns
-    value = F.trim(F.regexp_replace(F.replace(F.coalesce(F.col(column), F.lit("")), F.lit("\x00"), F.lit("")), r"\s+", " "))
-    made = rows.withColumn("q_value", value)
-    made = made.withColumn("q_low", F.trim(F.regexp_replace(F.regexp_replace(F.lower("q_value"), "[“”‘’\"'`]", ""), r"\s+", " "))).withColumn("q_words", F.split("q_value", " "))
-    made = made.withColumn("q_verb", F.col("q_value").rlike(VERB)).withColumn("q_figure", F.col("q_value").rlike(FIGURE))
-    text, low, n, verb, figure = F.col("q_value"), F.col("q_low"), F.size("q_words"), F.col("q_verb"), F.col("q_figure")
+    made = rows.withColumn("q_value", F.trim(_spaced(F.replace(F.coalesce(F.col(column), F.lit("")), F.lit("\x00"), F.lit("")))))
+    unquoted = F.trim(F.regexp_replace(F.regexp_replace(F.lower("q_value"), "[“”‘’\"'`]", ""), r"\s+", " "))
+    made = made.withColumn("q_low", F.when(_contains(F.col("q_value"), list("“”‘’\"'`")), unquoted).otherwise(F.lower("q_value"))).withColumn("q_words", F.size(F.split("q_value", " ")))
+    made = made.withColumn("q_verb", F.col("q_value").rlike(_by_letter(VERB))).withColumn("q_figure", F.col("q_value").rlike(FIGURE))
+    text, low, n, verb, figure = F.col("q_value"), F.col("q_low"), F.col("q_words"), F.col("q_verb"), F.col("q_figure")
     # a word is no title word if it has more than three letters or digits and begins with a small letter
     titled = ~text.rlike("(?:^| )[^A-Za-z0-9 -]*(?:[a-z-][^ A-Za-z0-9-]*)(?:[A-Za-z0-9-][^ A-Za-z0-9-]*){3}")
-    literal = lambda words: "|".join(rf"\Q{w}\E" for w in words)
+    begins = lambda words: reduce(lambda a, b: a | b, [low.startswith(w) for w in words])
+    # the patterns of questions and table rows read only texts with a sign of them
+    asks, bars = text.contains("?") | F.substring(text, 1, 1).between("0", "9"), text.contains("|")
     faults = {
-        "metadata": low.rlike(f"^(?:{literal(METADATA)})") | (low == ""), "heading": text.rlike("(?i)^(?:" + "|".join(HEADINGS) + ")") | ((n <= 8) & ~text.rlike("[.!?]$") & ~verb & titled),
-        "internal_test_content": low.rlike(literal([*INTERNAL, *(internal or [])])), "question": text.rlike(QUESTION), "table_row": (F.regexp_count(text, F.lit("[|]")) >= 2) | ((n <= 12) & ~verb & (F.regexp_count(text, F.lit(NUMBER)) >= 3)),
+        "metadata": begins(METADATA) | (low == ""), "heading": text.rlike("(?i)^(?:" + "|".join(HEADINGS) + ")") | ((n <= 8) & ~text.rlike("[.!?]$") & ~verb & titled),
+        "internal_test_content": _contains(low, [*INTERNAL, *(internal or [])]), "question": asks & text.rlike(QUESTION), "table_row": (bars & (F.regexp_count(text, F.lit("[|]")) >= 2)) | ((n <= 12) & ~verb & (F.regexp_count(text, F.lit(NUMBER)) >= 3)),
         "fragment": (n < 4) | F.right(text, F.lit(1)).isin(UNFINISHED) | ((n < 8) & ~verb & ~figure), "low_information": low.isin(LITTLE) | ~low.rlike("(?:[a-z][^a-z]*){5}"),
     }
-    made = made.withColumn("q_faults", F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in faults.items()])))
-    points = F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair])
-    less = F.aggregate("q_faults", F.lit(0), lambda total, name: total + F.element_at(points, name))
+    made = made.withColumns({f"q_{name}": hit for name, hit in faults.items()})
+    less = reduce(lambda a, b: a + b, [F.when(F.col(f"q_{name}"), POINTS[name]).otherwise(0) for name in faults])
+    told = F.concat_ws(",", *[F.when(F.col(f"q_{name}"), F.lit(name)) for name in faults])
     score = F.least(F.lit(100), F.greatest(F.lit(0), 100 - less + F.when(verb, WITH_VERB).otherwise(0) + F.when(figure, WITH_FIGURE).otherwise(0)))
     made = made.withColumn("score", F.when(text == "", 0).otherwise(score))
-    return made.select(*own, "score", (F.col("score") >= ACCEPTED).alias("accepted"), F.when(text == "", "empty_statement").otherwise(F.array_join("q_faults", ",")).alias("reasons"))
+    return made.select(*own, "score", (F.col("score") >= ACCEPTED).alias("accepted"), F.when(text == "", "empty_statement").otherwise(told).alias("reasons"))
 
 
 def rejections(judged: DataFrame) -> DataFrame:
     """reason, n of the rejected statements of a table with accepted and reasons."""
-    rows = judged.where(~F.col("accepted")).select(F.explode(F.split("reasons", ",")).alias("reason"))
-    return rows.groupBy("reason").agg(F.count("*").alias("n"))
+    # counted first: a filter would go below the judging, which would then be done twice for every statement
+    rows = judged.groupBy("reasons").agg(F.count_if(~F.col("accepted")).alias("n")).where("n > 0")
+    return rows.select(F.explode(F.split("reasons", ",")).alias("reason"), "n").groupBy("reason").agg(F.sum("n").alias("n"))

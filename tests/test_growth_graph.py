@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.operators import augmentation, knowledge
+from factloom.operators import augmentation, factquality, knowledge
 from factloom.plans import discovery
 
 
@@ -49,3 +49,17 @@ def test_scored_edges_sort_no_sources(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     # each fact's words are taken apart in one place, the projection of its score
     assert plan.count("array_intersect") == 1 and "count(distinct" not in plan
+
+
+def test_statements_are_judged_once(spark):
+    rows = spark.createDataFrame([(1, "a line")], "doc_id long, line string")
+    found = factquality.rejections(factquality.judged(rows, "line"))
+    # a filter below the judging would make every figure test twice
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[0-9]+(?:[,.][0-9]+)?") == 1
+
+
+def test_words_by_letter_are_the_same_words(spark):
+    words = factquality.VERB.removeprefix(r"(?i)\b(?:").removesuffix(r")\b").replace("s?", "s").split("|")
+    lines = [x for w in words for x in (w, w.upper(), f"it {w[:-1]} so", f"x{w}", f"{w}x", f"a {w}.")] + ["", "no such word", "ſhall"]
+    data = spark.createDataFrame([(x,) for x in lines], "t string")
+    assert data.where(data["t"].rlike(factquality.VERB) != data["t"].rlike(factquality._by_letter(factquality.VERB))).count() == 0
