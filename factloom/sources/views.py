@@ -144,6 +144,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in sorted(set(re.findall(r"{(\w+)}", text)))})
 
 
+def view_on(reports: DataFrame, name: str) -> DataFrame:
+    """The view `retrieved` or `asked` on a table of the reports, which are then made once for all its parts."""
+    return reports.sparkSession.sql({"retrieved": _RETRIEVED, "asked": _ASKED}[name].replace("({reports})", "{reports}"), reports=reports)
+
+
 def retrieved_places(reports: DataFrame) -> DataFrame:
     """answer_id, place, citation_id, doc_id of the view `retrieved`, from reports(doc_id, country) without their texts."""
     after = Window.partitionBy("country").orderBy("doc_id")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import itertools
+import random
 import re
 
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factloom.operators import chunking, numbers
 from factloom.streaming import processing
@@ -95,3 +99,38 @@ def test_headings_are_those_of_the_plain_rule(lines):
     assert [chunking.tidy(x) for x in lines] == tidy
     for before, line, after in zip(["", *tidy], tidy, [*tidy[1:], ""], strict=False):
         assert not line or chunking.is_heading(line, before, after) == plain(line, before, after)
+
+
+def test_contradictions_equal_all_pairs_and_none_is_shuffled(spark):
+    """Before, every figure of a pair of texts was shuffled by unit and year to meet the other text's."""
+    fields = "answer_id long, place int, doc_id long, country string, published date, section string, content string"
+    draw, words = random.Random(3), ["solar", "grids", "capacité", "Ωμέγα", "storage", "hydrogen", "reaches", "the"]
+    figure = lambda: f"{draw.choice(words)} {draw.choice(words)} {draw.choice(['', 'USD ', '€'])}{draw.randint(1, 3)} {draw.choice(['MW', 'million', '%'])} {draw.choice(words)} by {draw.choice([2030, 2031])}."
+    text = lambda: " ".join(figure() + " filler" * draw.randint(0, 30) for _ in range(draw.randint(0, 8)))
+    day = datetime.date(2020, 1, 1)
+    single = [(a, p, 10 * a + p, draw.choice(["X", "x ", None]), draw.choice([None, day]), draw.choice(["", "A"]), text() or None) for a in range(6) for p in range(7)]
+    twice = [(9, p, p % 3, "X", None, "", text()) for p in range(6)]
+    for rows in (single, twice):
+        expected = {}
+        for l, r in itertools.product(rows, rows):
+            near = lambda x, y, least: len(x & y) >= max(2, least * min(len(x), len(y)))
+            same = l[0] == r[0] and l[1] < r[1] and l[2] != r[2] and (l[3] or "").strip().lower() == (r[3] or "").strip().lower()
+            if same and ((l[5] and l[5] == r[5]) or near(set(numbers.words_of(l[6] or "")), set(numbers.words_of(r[6] or "")), 0.3)):
+                for x, y in itertools.product(numbers.claims(l[6] or ""), numbers.claims(r[6] or "")):
+                    if x[4:6] == y[4:6] and x[2] != y[2] and (not x[3] or not y[3] or x[3] == y[3]) and near(set(numbers.words_of(x[6])), set(numbers.words_of(y[6])), 0.35):
+                        newer = "undetermined" if l[4] == r[4] else "left" if l[4] else "right"
+                        key, value = (l[0], x[4], x[3] or y[3], x[5], l[2], x[2], r[2], y[2]), (l[1], r[1], x[0], y[0], x[1], y[1], newer)
+                        expected[key] = min(expected.get(key, value), value)
+        frame = spark.createDataFrame(rows, fields)
+        for tile in (1, 3, 2_000):
+            found = numbers.conflicts(frame, tile=tile)
+            assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((*k, *v[4:])) for k, v in expected.items()) and expected
+            if rows is single:
+                assert not re.search("hashpartitioning[^\n]*unit", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_words_of_are_keywords(spark):
+    draw = random.Random(12)
+    texts = ["".join(draw.choices("abÉß0٣%$.,:/- \t\n_·ΣÅ中", k=60)) + " solar-power: 12.5%grids/x9 -1,000 2nd.. the-n" for _ in range(200)] + ["", "  ", "1234 5678"]
+    for text, words in spark.createDataFrame([(x,) for x in texts], "t string").select("t", numbers.keywords(F.col("t"))).collect():
+        assert numbers.words_of(text) == words
