@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.operators import chunking, numbers
+from factloom.operators import chunking, numbers, tracing
 from factloom.streaming import processing
 
 TEXTS = st.lists(st.sampled_from([*"0123456789", *" .,-%$€é\n\t_(", "usd ", "EUR", " MW", "tonnes ", " 20", "19", "CA-", "Table ", "ISO-", "Plan Of Energy", "is ", "- ", "a) ", "1. ", "\r\n", "\x1c", "x"]), max_size=60).map("".join)
@@ -134,3 +134,34 @@ def test_words_of_are_keywords(spark):
     texts = ["".join(draw.choices("abÉß0٣%$.,:/- \t\n_·ΣÅ中", k=60)) + " solar-power: 12.5%grids/x9 -1,000 2nd.. the-n" for _ in range(200)] + ["", "  ", "1234 5678"]
     for text, words in spark.createDataFrame([(x,) for x in texts], "t string").select("t", numbers.keywords(F.col("t"))).collect():
         assert numbers.words_of(text) == words
+
+
+def test_spans_shuffle_neither_texts_nor_a_sentence_for_each_tile_of_claims(spark):
+    """Before, each sentence went with its text to a tile of 20,000 claims each, and every match brought the text and the claim back."""
+    sents = spark.range(50).selectExpr("id as doc_id", "0 as paragraph", "0 as sentence", "string(id) as sentence_text", "array('a', 'b' || id) as tokens")
+    made = spark.range(30_000).selectExpr("id as turn_id", "1 as claim", "array('b' || id, 'z' || id) as tokens")
+    found = tracing.covering_spans(made, sents, "turn_id", "doc_id")
+    meets = re.search("FlatMapCoGroupsInArrow.*", found._jdf.queryExecution().executedPlan().toString())[0]
+    assert "packed" in meets and "sentence_text" not in meets and "wanted" not in meets
+    assert sorted(map(tuple, found.collect())) == [(k, 1, k, 0.5, 0, 0, str(k)) for k in range(50)]
+
+
+def test_an_index_finds_what_all_pairs_have():
+    draw = random.Random(8)
+    words = ["the"] * 60 + ["of"] * 20 + [f"w{k}" for k in range(60)]
+    held = [" ".join(sorted(set(draw.choices(words, k=draw.randint(1, 12))))) for _ in range(400)] + [""]
+    wanted = [" ".join(sorted(draw.choices([*words, "new"], k=draw.randint(1, 12)))) for _ in range(300)] + ["new", "the the w1"]
+    index = tracing._Index(pa.array(held))
+    for least in (0.1, 0.3, 0.5, 0.7, 1.0):
+        expected = []
+        for k, claim in enumerate(x.split(" ") for x in wanted):
+            n = [sum(t in own for t in claim) for own in (set(x.split(" ")) for x in held)]
+            if max(n) and max(n) / len(claim) >= least:
+                expected.append((k, n.index(max(n)), max(n) / len(claim)))
+        assert list(zip(*index.covered(pa.array(wanted), least), strict=True)) == expected and expected
+
+
+def test_tiles_are_dealt_evenly(spark):
+    keys = tracing._spread(spark, 11)
+    tasks = spark.createDataFrame([(k,) for k in keys], "tile long").repartition(4, "tile").groupBy(F.spark_partition_id()).count().collect()
+    assert len(set(keys)) == 11 and max(r["count"] for r in tasks) == 3
