@@ -165,3 +165,16 @@ def test_tiles_are_dealt_evenly(spark):
     keys = tracing._spread(spark, 11)
     tasks = spark.createDataFrame([(k,) for k in keys], "tile long").repartition(4, "tile").groupBy(F.spark_partition_id()).count().collect()
     assert len(set(keys)) == 11 and max(r["count"] for r in tasks) == 3
+
+
+def test_claims_go_to_texts_and_texts_stay(spark, sf_dir):
+    """Before, each report was cut into sentences and shuffled once for each answer that it was retrieved for."""
+    from factloom.plans import catalog
+    from factloom.sources.views import view
+
+    answers, retrieved = view(spark, sf_dir, "answers"), view(spark, sf_dir, "retrieved")
+    reports = view(spark, sf_dir, "reports").select("doc_id", F.col("text").alias("content"))
+    whole, found = tracing.matches(answers, retrieved), tracing.matches(answers, retrieved.drop("content"), texts=reports)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, whole.collect()))) and found.columns == whole.columns
+    plan = catalog.QUERIES["txt17_claim_support"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Programme ") == 1 and "step-" in catalog.QUERIES["txt17_claim_support"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
